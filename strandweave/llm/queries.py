@@ -27,8 +27,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .records import encode_to_records, read_records
+
+    path, index = encode_to_records(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return read_records(index, path).select(
+        F.col("key").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_token_records": op5_token_records,
 }
 
 ORACLES: dict[str, str] = {}
