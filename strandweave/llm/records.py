@@ -29,16 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_file, open_fs, shared_dir, sized_broadcast
+from .common import new_file, open_fs, ranges, shared_dir, sized_broadcast
 
 #: Word rule of the public word vocabulary, a fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 VOCABULARY_BYTES = 64 << 20
 REMEMBERED = 400_000
-#: A read joins neighbouring records into one range of at most so many bytes.
-RANGE_BYTES = 8 << 20
-#: Records that are further apart than this are not read in one range.
-GAP_BYTES = 64 << 10
 
 INDEX_SCHEMA = "part int, seq long, key long, file string, offset long, length long, n_tokens long, local_start long"
 
@@ -176,20 +172,6 @@ def with_start(index: DataFrame) -> DataFrame:
     return index.join(before, "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before", "local_start")
 
 
-def ranges(rows: list[tuple[str, int, int]], gap: int = GAP_BYTES, most: int = RANGE_BYTES) -> list[tuple[str, int, int, list[int]]]:
-    """Coalesced byte ranges (file, from, to, members) of (file, offset, length) rows, sorted by place."""
-    out: list = []
-    for i in sorted(range(len(rows)), key=lambda i: rows[i][:2]):
-        file, offset, length = rows[i]
-        last = out[-1] if out else None
-        if last and last[0] == file and offset - last[2] <= gap and offset + length - last[1] <= most:
-            last[3].append(i)
-            last[2] = max(last[2], offset + length)
-        else:
-            out.append([file, offset, offset + length, [i]])
-    return [tuple(x) for x in out]
-
-
 def read_records(index: DataFrame, path: str, tasks: int | None = None) -> DataFrame:
     """``index`` rows with ``key`` and ``ids`` (binary, little-endian 32-bit) as the files hold them.
 
