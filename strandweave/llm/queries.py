@@ -54,10 +54,17 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
     "op5_token_records": op5_token_records,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
