@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_bucket, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -14,6 +14,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, ToxicityModel
+
+    docs = table(spark, sf_dir, "documents")
+    model = ToxicityModel.fit(ToxicityModel.training_rows(docs, table(spark, sf_dir, "labels")))
+    return model.score(docs.select("doc_id", "text")).select(
+        "doc_id", (id_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import ByteBpe
 
@@ -61,6 +71,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
     "op5_token_records": op5_token_records,
