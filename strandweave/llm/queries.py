@@ -14,6 +14,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_regions
+
+    return find_regions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import THRESHOLD, ToxicityModel
 
@@ -28,8 +34,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import ByteBpe
 
     bpe = ByteBpe(spark, tokenizer_path("byte_bpe_50k.tiktoken"))
-    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text").alias("ids"))
-    return coded.select("doc_id", "ids", bpe.decode("ids").alias("decoded")).select(
+    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip("text").alias("coded"))
+    return coded.select("doc_id", "coded.ids", "coded.decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -71,6 +77,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
