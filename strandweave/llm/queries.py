@@ -70,6 +70,19 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_documents
+    from .spans import counted, joined
+
+    found = scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[counted(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
@@ -82,6 +95,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
     "op5_token_records": op5_token_records,
+    "op8_secret_scan": op8_secret_scan,
     "op10_ngram_join": op10_ngram_join,
 }
 
