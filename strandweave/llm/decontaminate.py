@@ -245,17 +245,41 @@ def find_regions(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     Document places count code points of the text as given, item places those of the compared form.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    bench = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).where("length(text) > 0")
-    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_CHARS))
     out = None
-    for b in range(blocks):
-        block = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+    for block in _blocks(benchmark, item_id, item_text):
         part = rows.mapInArrow(_finder(block), REGIONS)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple]]:
+    """Items with text in blocks of about ``BLOCK_CHARS`` characters; one empty block of an empty benchmark."""
+    bench = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).where("length(text) > 0")
+    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / BLOCK_CHARS))
+    for b in range(blocks):
+        yield [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has no verified region; items below twice q don't count here."""
+    for block in _blocks(benchmark, item_id, item_text):
+        docs = docs.where(_clean(block)(F.col(f"`{text}`")))
+    return docs
+
+
+def _clean(block: list[tuple]):
+    held: list[Items] = []
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(Items(block))
+        return pa.array([not verified(held[0], normalize(t.as_py() or "")[0]) for t in texts], pa.bool_())
+
+    return clean
+
+
 def _finder(block: list[tuple]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(block)
