@@ -70,6 +70,12 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan_documents
     from .spans import counted, joined
@@ -95,6 +101,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
     "op5_token_records": op5_token_records,
+    "op6_lm_score": op6_lm_score,
     "op8_secret_scan": op8_secret_scan,
     "op10_ngram_join": op10_ngram_join,
 }
