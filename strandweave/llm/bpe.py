@@ -28,7 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Largest vocabulary file that is broadcast.
 VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens remembered by a worker; beyond it the memory starts anew (results don't depend on it).
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -94,40 +94,36 @@ class Codec:
         self.processor = SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self.split = regex.compile(pattern).findall
         self.spell = dict(enumerate(byte_alphabet()))
-        self.memory: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.memory) + len(words) > REMEMBERED:
-            self.memory.clear()
-        spelled = []
-        for w in words:
-            raw = w.encode()
-            rank = self.whole.get(raw)
-            if rank is not None:  # a pre-token that is a vocabulary entry is that entry
-                self.memory[w] = struct.pack("<I", rank)
-            else:
-                spelled.append((w, raw.decode("latin-1").translate(self.spell)))
-        for (w, _), ids in zip(spelled, self.processor.encode([s for _, s in spelled], num_threads=1)):
-            self.memory[w] = struct.pack(f"<{len(ids)}I", *ids)
+        self.memory = _Words(self)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        words = self.split(text)
         memory = self.memory
-        try:
-            return b"".join([memory[w] for w in words])
-        except KeyError:
-            self.learn([w for w in set(words) if w not in memory])
-            memory = self.memory
-            if any(w not in memory for w in set(words)):  # the memory was cleared just now
-                self.learn([w for w in set(words) if w not in memory])
-            return b"".join([memory[w] for w in words])
+        ids = b"".join([memory[w] for w in self.split(text)])
+        if len(memory) > REMEMBERED:
+            memory.clear()
+        return ids
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in memoryview(ids).cast("I")])
 
 
+class _Words(dict):
+    """Packed ids of a pre-token; a new one is encoded when it is first asked for."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.whole, self.spell, self.encode = codec.whole, codec.spell, codec.processor.encode
+
+    def __missing__(self, word: str) -> bytes:
+        raw = word.encode()
+        rank = self.whole.get(raw)  # a pre-token that is a vocabulary entry is that entry
+        ids = [rank] if rank is not None else self.encode(raw.decode("latin-1").translate(self.spell))
+        packed = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+
 _CODECS: dict[tuple, Codec] = {}
 
 
@@ -147,17 +143,27 @@ class ByteBpe:
         tokens = read_ranks(path)
         blob = sized_broadcast(spark, b"\n".join(base64.b64encode(t) for t in tokens), VOCABULARY_BYTES)
 
+        def coded(texts: pa.Array, codec: Codec) -> list[bytes]:
+            return [codec.encode(t.as_py() or "") for t in texts]
+
         @F.arrow_udf(T.BinaryType())
         def encode(texts: pa.Array) -> pa.Array:
-            codec = _codec(path, blob, pattern)
-            return pa.array([codec.encode(t.as_py() or "") for t in texts], pa.binary())
+            return pa.array(coded(texts, _codec(path, blob, pattern)), pa.binary())
 
         @F.arrow_udf(T.BinaryType())
         def decode(ids: pa.Array) -> pa.Array:
             codec = _codec(path, blob, pattern)
             return pa.array([codec.decode(x.as_py() or b"") for x in ids], pa.binary())
 
-        self.encode, self.decode = encode, decode
+        @F.arrow_udf(T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]))
+        def round_trip(texts: pa.Array) -> pa.Array:
+            codec = _codec(path, blob, pattern)
+            ids = coded(texts, codec)
+            decoded = [codec.decode(x) for x in ids]
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["ids", "decoded"])
+
+        #: ``round_trip`` encodes once and decodes those ids; ``decode(encode(x))`` next to ``encode(x)`` would encode twice.
+        self.encode, self.decode, self.round_trip = encode, decode, round_trip
 
 
 def encode_documents(df: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = PATTERN) -> DataFrame:
