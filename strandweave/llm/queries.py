@@ -89,6 +89,23 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+OP9_SQL = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
+     p AS (SELECT q.vec_id AS query_id, r.vec_id,
+                  CAST(list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+           FROM c q JOIN c r ON q.vec_id % 20 = 0),
+     t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, distance FROM t WHERE rank <= 10
+"""
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
@@ -103,9 +120,11 @@ QUERIES = {
     "op5_token_records": op5_token_records,
     "op6_lm_score": op6_lm_score,
     "op8_secret_scan": op8_secret_scan,
+    "op9_hamming_top_k": op9_hamming_top_k,
     "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
     "op4_warc": OP4_SQL,
+    "op9_hamming_top_k": OP9_SQL,
 }
