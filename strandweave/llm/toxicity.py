@@ -20,6 +20,7 @@ Extra columns pass through.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,8 +43,12 @@ STEM, FUZZY = (4, 8), 5
 FIT_ROWS = 20_000
 #: Most innocent spellings kept.
 INNOCENT = 50_000
+#: Most (id, hash, label) rows that are broadcast, about 40 bytes each.
+BROADCAST_ROWS = 400_000
+#: Bits (as a power of two) of the map of toxic terms.
+BITMAP = 20
 PARTIAL = 400_000
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 WINDOW = 6
 THRESHOLD = 0.7
 
@@ -151,10 +156,8 @@ class Scorer:
         self.known: set[str] = set()
         self.hits: dict[str, tuple[int, bool]] = {}
 
-    def features(self, text: str) -> list[float]:
-        low = text.lower()
-        words = WORD.findall(low)
-        distinct = set(words)
+    def _look(self, distinct: set[str]) -> None:
+        """Match the words that were not seen yet."""
         new = distinct - self.known
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
@@ -164,6 +167,18 @@ class Scorer:
             if (m := self.lexicon.match(w)) is not None:
                 self.hits[w] = m
         self.known |= new
+
+    def misspelled(self, text: str) -> list[str]:
+        """Distinct words that would count as misspelled terms."""
+        distinct = set(WORD.findall(text.lower()))
+        self._look(distinct)
+        return [w for w in distinct & self.hits.keys() if self.hits[w][1]]
+
+    def features(self, text: str) -> list[float]:
+        low = text.lower()
+        words = WORD.findall(low)
+        distinct = set(words)
+        self._look(distinct)
         if self.hits.keys().isdisjoint(distinct):
             return [0.0] * len(FEATURES)
         sums, address, strongest, count = [0.0] * 4, 0, 0.0, 0
@@ -227,38 +242,42 @@ def choose_terms(rows: list[tuple[str, bool, float, float]]) -> list[tuple[str,
     return taken
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, whole, toxic, clean): texts that have each word and stem, summed a task."""
-    counts = (Counter(), Counter())
-
-    def flush() -> pa.RecordBatch:
-        terms = list(counts[0].keys() | counts[1].keys())
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.array([t.rstrip("$") for t in terms], pa.string()),
-                pa.array([t.endswith("$") for t in terms], pa.bool_()),
-                pa.array([counts[1][t] for t in terms], pa.int64()),
-                pa.array([counts[0][t] for t in terms], pa.int64()),
-            ],
-            names=["term", "whole", "toxic", "clean"],
-        )
-        for c in counts:
-            c.clear()
-        return out
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast where it has few rows; else it stays as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
+
+def _terms_of(text: str) -> set[str]:
+    """Words (with a closing sign) and stems of a text."""
     low, high = STEM
-    for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-            seen = set()
-            for w in set(WORD.findall((text.as_py() or "").lower())):
-                if len(w) >= 3:
-                    seen.add(w + "$")
-                    for k in range(low, min(len(w), high + 1)):
-                        seen.add(w[:k])
-            counts[toxic].update(seen)
-            if len(counts[0]) + len(counts[1]) > PARTIAL:
-                yield flush()
-    yield flush()
+    seen = set()
+    for w in set(WORD.findall(text.lower())):
+        if len(w) >= 3:
+            seen.add(w + "$")
+            for k in range(low, min(len(w), high + 1)):
+                seen.add(w[:k])
+    return seen
+
+
+def _counter(of, schema: str = "term string, n long"):
+    """A task's counts of what ``of(text)`` gives, flushed at ``PARTIAL`` entries."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(of(text.as_py() or ""))
+                if len(counts) > PARTIAL:
+                    yield flush()
+        yield flush()
+
+    return lambda rows: rows.select("text").mapInArrow(count, schema).groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class ToxicityModel:
@@ -267,22 +286,41 @@ class ToxicityModel:
 
     @staticmethod
     def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """(text, toxic) of labelled rows outside the held-out third, each text once."""
+        """(text, toxic) of labelled rows outside the held-out third, each text once.
+
+        Only ids, hashes and labels are shuffled; texts are read again where they are needed.
+        """
         marks = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
         rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-        joined = rows.where(id_bucket(F.col("id"), 3) != 1).join(marks, "id")
-        return joined.groupBy(F.sha1(F.col("text").cast("binary")).alias("k")).agg(F.first("text").alias("text"), (F.max("toxic") > 0).cast("int").alias("toxic")).select("text", "toxic")
+        rows = rows.where(id_bucket(F.col("id"), 3) != 1)
+        code = F.unhex(F.sha1(F.col("text").cast("binary")))
+        marked = rows.select("id", code.alias("code")).join(_small(materialize(marks, "toxic-marks")), "id")
+        kept = marked.groupBy("code").agg(F.min("id").alias("id"), (F.max("toxic") > 0).cast("int").alias("toxic"))
+        kept = _small(materialize(kept, "toxic-kept"))
+        return rows.join(kept, "id").where(F.col("code") == code).select("text", "toxic")
 
     @classmethod
     def fit(cls, rows: DataFrame) -> ToxicityModel:
         """Learn from (text, toxic 0/1) rows."""
-        rows = materialize(rows, "toxic-rows")
         sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
         if not toxic or not clean:
             return cls(Lexicon([]), np.array([0.0] * len(FEATURES) + [-30.0]))
-        counts = rows.mapInArrow(_term_counts, "term string, whole boolean, toxic long, clean long")
-        counts = materialize(counts.groupBy("term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-terms")
+        # terms of toxic texts first; clean texts then count only terms that a bitmap of those may hold
+        seen = materialize(_counter(_terms_of)(rows.where("toxic = 1")).where(F.col("n") >= LEAST_TOXIC), "toxic-terms")
+        bits = np.zeros(1 << BITMAP, bool)
+        bits[seen.select((F.crc32(F.col("term").cast("binary")) % (1 << BITMAP)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
+        packed = np.packbits(bits).tobytes()
+        held: list[np.ndarray] = []
+
+        def known(text: str) -> list[str]:
+            if not held:
+                held.append(np.unpackbits(np.frombuffer(packed, np.uint8)).tobytes())
+            return [t for t in _terms_of(text) if held[0][zlib.crc32(t.encode()) & (1 << BITMAP) - 1]]
+
+        others = _counter(known)(rows.where("toxic = 0")).withColumnRenamed("n", "clean")
+        counts = seen.withColumnRenamed("n", "toxic").join(others, "term", "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
+        counts = counts.select(F.regexp_replace("term", "[$]", "").alias("term"), F.col("term").endswith("$").alias("whole"), "toxic", "clean")
         p, q = (F.col("toxic") + 0.5) / (toxic + 1), (F.col("clean") + 0.5) / (clean + 1)
         odds = F.log(p / (1 - p)) - F.log(q / (1 - q))
         share, both = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
@@ -297,13 +335,15 @@ class ToxicityModel:
         ranked = ranked.where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_G)).orderBy(F.desc("g"), "term", "whole").limit(CONSIDERED)
         terms = choose_terms([tuple(r) for r in ranked.collect()])
 
-        @F.arrow_udf(T.BooleanType())
-        def misspells(words: pa.Array) -> pa.Array:
-            lexicon = Lexicon(terms)
-            return pa.array([bool((m := lexicon.match(w.as_py())) and m[1]) for w in words], pa.bool_())
+        lexicon: list[Scorer] = []
+
+        def misspelled(text: str) -> list[str]:
+            if not lexicon:
+                lexicon.append(Scorer(Lexicon(terms)))
+            return lexicon[0].misspelled(text)
 
-        near = counts.where("whole and clean > 0 and length(term) >= 4").where(misspells("term")).orderBy(F.desc("clean"), "term").limit(INNOCENT)
-        model = cls(Lexicon(terms, {r["term"] for r in near.select("term").collect()}), np.zeros(len(FEATURES) + 1))
+        near = _counter(misspelled)(rows.where("toxic = 0")).orderBy(F.desc("n"), "term").limit(INNOCENT)
+        model = cls(Lexicon(terms, {r["term"] for r in near.collect()}), np.zeros(len(FEATURES) + 1))
         share = min(1.0, FIT_ROWS / (toxic + clean))
         picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
         data = np.array([[*r["features"], r["toxic"]] for r in picked.select(model.features("text").alias("features"), "toxic").collect()])
