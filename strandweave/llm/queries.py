@@ -76,6 +76,19 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, scan_documents
+    from .spans import counted, joined
+
+    found = scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[counted(F.col("base"), k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan_documents
     from .spans import counted, joined
@@ -119,6 +132,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_token_records": op5_token_records,
     "op6_lm_score": op6_lm_score,
+    "op7_pii": op7_pii,
     "op8_secret_scan": op8_secret_scan,
     "op9_hamming_top_k": op9_hamming_top_k,
     "op10_ngram_join": op10_ngram_join,
