@@ -6,6 +6,8 @@ Executors can be lost at any time, so anything that cuts a lineage is written be
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -35,13 +37,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of fewer rows for the jobs started within: texts are long, and JVM and worker hold a batch each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; the lineage ends there."""
-    path = shared_dir(df.sparkSession, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    path = path or shared_dir(df.sparkSession, name)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
 
 
@@ -56,6 +68,17 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -112,3 +135,26 @@ def ranges(rows: list[tuple[str, int, int]], gap: int = GAP_BYTES, most: int = R
         else:
             out.append([file, offset, offset + length, [i]])
     return [tuple(x) for x in out]
+
+
+class Memory(dict):
+    """Results of ``compute(key)``, remembered in two generations of at most ``most`` / 2 keys.
+
+    Keys that are asked for again move into the young generation, so frequent ones stay.
+    """
+
+    def __init__(self, compute, most: int):
+        super().__init__()
+        self.compute, self.most, self.old = compute, most // 2, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()

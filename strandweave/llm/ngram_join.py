@@ -43,7 +43,7 @@ BUCKET = 48
 #: Least posterior probability of reaching the threshold with which a pair goes on.
 TOLERANCE = 1e-6
 #: A block holds about so many classes and shingles.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Most ids (8 bytes each) that are broadcast to pick texts; beyond it that join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -241,9 +241,10 @@ def shingles_udf():
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """Edges (a, b) between class keys, or a class key and a large bucket's own node."""
-    rows = classes.where("n > 0").select("key", "n", "sketch", F.explode("bands").alias("h"))
+    rows = classes.where("n > 0").select("key", F.explode("bands").alias("h"))
     full = materialize(rows.groupBy("h").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    member = materialize(rows.join(full, "h"), "members")
+    shared = materialize(rows.join(full, "h"), "shared")
+    member = materialize(shared.join(classes.select("key", "n", "sketch"), "key"), "members")
     small = member.where(F.col("members") <= BUCKET)
     x, y = small.alias("x"), small.alias("y")
     same = F.lit(0)
@@ -263,7 +264,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     stars = member.where(F.col("members") > BUCKET).select(
         "key", F.concat(F.lit(b"\xff" * 16), F.col("h").cast("string").cast("binary")).alias("b")
     )
-    return pairs.unionByName(stars.withColumnRenamed("key", "a"))
+    return pairs.distinct().unionByName(stars.withColumnRenamed("key", "a"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -276,7 +277,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     signed = materialize(docs.mapInArrow(_sign, SIGNED), "signed")
     grouped = materialize(signed.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")), "classes")
-    classes = signed.dropDuplicates(["key"]).select("key", "n", "bands", "sketch")
+    classes = materialize(signed.dropDuplicates(["key"]).select("key", "n", "bands", "sketch", "sig"), "class-values")
     clusters = components(candidate_edges(classes)).where(F.length("node") == 16)
 
     # shingles of the clustered classes alone, from the text of one document each
@@ -291,8 +292,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         .where(F.length("shingles") > 0)
         .dropDuplicates(["key"])
     )
-    sigs = signed.select("key", "sig").dropDuplicates(["key"])
-    held = materialize(wanted.join(sets, "key").join(sigs, "key"), "sets")
+    held = materialize(wanted.join(sets, "key").join(classes.select("key", "sig"), "key"), "sets")
     share = held.groupBy("label").agg(F.count("*").alias("c"), F.sum(F.octet_length("shingles")).alias("s"))
     share = materialize(
         share.where("c > 1").select("label", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / (8 * BLOCK_SHINGLES))).cast("int").alias("blocks")), "blocks"
@@ -317,12 +317,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "others", "documents", "root"])
 
         for batch in batches:
-            for label, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if (label, i, j) != held_group:
-                    if rows:
-                        yield done()
-                    held_group, rows = (label, i, j), []
-                rows.append(tuple(rest))
+            for at in range(0, batch.num_rows, 256):
+                for label, i, j, *rest in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    if (label, i, j) != held_group:
+                        if rows:
+                            yield done()
+                        held_group, rows = (label, i, j), []
+                    rows.append(tuple(rest))
         if rows:
             yield done()
 
