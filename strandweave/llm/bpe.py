@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sized_broadcast
+from .common import Memory, sized_broadcast
 
 #: Split rule of the public 50k byte-level vocabulary, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Largest vocabulary file that is broadcast.
 VOCABULARY_BYTES = 64 << 20
-#: Pre-tokens remembered by a worker; beyond it the memory starts anew (results don't depend on it).
-REMEMBERED = 800_000
+#: Pre-tokens remembered by a worker (results don't depend on it).
+REMEMBERED = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -94,14 +94,19 @@ class Codec:
         self.processor = SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self.split = regex.compile(pattern).findall
         self.spell = dict(enumerate(byte_alphabet()))
-        self.memory = _Words(self)
+        self.memory = Memory(self._word, REMEMBERED)
+
+    def _word(self, word: str) -> bytes:
+        raw = word.encode()
+        rank = self.whole.get(raw)  # a pre-token that is a vocabulary entry is that entry
+        ids = [rank] if rank is not None else self.processor.encode(raw.decode("latin-1").translate(self.spell))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         memory = self.memory
         ids = b"".join([memory[w] for w in self.split(text)])
-        if len(memory) > REMEMBERED:
-            memory.clear()
+        memory.trim()
         return ids
 
     def decode(self, ids: bytes) -> bytes:
@@ -109,21 +114,6 @@ class Codec:
         return b"".join([tokens[i] for i in memoryview(ids).cast("I")])
 
 
-class _Words(dict):
-    """Packed ids of a pre-token; a new one is encoded when it is first asked for."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.whole, self.spell, self.encode = codec.whole, codec.spell, codec.processor.encode
-
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        rank = self.whole.get(raw)  # a pre-token that is a vocabulary entry is that entry
-        ids = [rank] if rank is not None else self.encode(raw.decode("latin-1").translate(self.spell))
-        packed = self[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
-
-
 _CODECS: dict[tuple, Codec] = {}
 
 

@@ -23,18 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_file, open_fs, ranges, shared_dir, sized_broadcast
+from .bpe import byte_alphabet
+from .common import Memory, new_file, open_fs, ranges, shared_dir, sized_broadcast, small_batches
 
-#: Word rule of the public word vocabulary, a fixed value.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 VOCABULARY_BYTES = 64 << 20
-REMEMBERED = 400_000
+#: Words remembered by a worker (results don't depend on it).
+REMEMBERED = 300_000
 
 INDEX_SCHEMA = "part int, seq long, key long, file string, offset long, length long, n_tokens long, local_start long"
 
@@ -60,9 +59,8 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-def serialize(key: int | None, ids: np.ndarray) -> bytes:
-    width = 2 if not len(ids) or int(ids.max()) < 65536 else 4
-    return struct.pack("<BBq", width, key is not None, key or 0) + ids.astype(f"<u{width}").tobytes()
+def serialize(key: int | None, ids: bytes, width: int) -> bytes:
+    return struct.pack("<BBq", width, key is not None, key or 0) + ids
 
 
 def deserialize(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -73,42 +71,40 @@ def deserialize(payload: bytes) -> tuple[int | None, np.ndarray]:
 class WordCodec:
     """The tokenizers library behind a memory of words.
 
-    In a text of Latin letters, ASCII and plain white space, normalisation is lower case
-    and words never touch each other, so each word is encoded by the library once and
-    remembered. Any other text, and any text that may hold a special token, goes to the
+    In a text of ASCII, Latin letters up to U+017F and plain white space, normalisation is
+    lower case and words never touch each other, so each word is encoded by the library once
+    and remembered. Any other text, and any text that may hold a special token, goes to the
     library whole.
     """
 
-    plain = re.compile("[\t-\r\x20-\x7e\xa0-įı-ɏ]*").fullmatch
+    plain = re.compile("[\t-\r\x20-\x7e\xa0-\u012f\u0131-\u017f]*").fullmatch
+    #: The vocabulary's word rule over lower-cased plain texts.
+    words = re.compile("'(?:[stmd]|re|ve|ll)|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\s0-9a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f\xb2\xb3\xb9\xbc-\xbe]+").findall
 
     def __init__(self, blob: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(blob)
-        self.words = regex.compile(WORDS).findall
-        self.memory: dict[str, bytes] = {}
+        self.width = 2 if self.library.get_vocab_size() <= 65536 else 4
+        self.memory = Memory(self._word, REMEMBERED)
+        self.spell = dict(enumerate(byte_alphabet()))
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memory) + len(words) > REMEMBERED:
-            self.memory.clear()
-        for w, e in zip(words, self.library.encode_batch(words, add_special_tokens=False)):
-            self.memory[w] = np.array(e.ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        """A lower-case word goes through the library's merge model as its byte letters."""
+        return self._pack([t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(self.spell))])
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def encode(self, text: str) -> bytes:
+        """Ids, little-endian, ``width`` bytes each."""
         if "<|" in text or not self.plain(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.words(text.lower())
-        for _ in range(2):
-            memory = self.memory
-            try:
-                return b"".join([memory[w] for w in words])
-            except KeyError:
-                missing = [w for w in dict.fromkeys(words) if w not in memory]
-                if len(memory) + len(missing) > REMEMBERED:
-                    missing = list(dict.fromkeys(words))
-                self._learn(missing)
-        return b"".join([self.memory[w] for w in words])
+            return self._pack(self.library.encode(text, add_special_tokens=False).ids)
+        memory = self.memory
+        ids = b"".join([memory[w] for w in self.words(text.lower())])
+        memory.trim()
+        return ids
 
 
 _CODECS: dict[str, WordCodec] = {}
@@ -135,6 +131,7 @@ def write_records(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, out, part = _codec(tokenizer, blob), None, TaskContext.get().partitionId()
+        end = b"" if end_id is None else codec._pack([end_id])
         offset = seq = start = 0
         fs, folder = open_fs(path)
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.rec"
@@ -144,13 +141,11 @@ def write_records(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
                     out = new_file(fs, f"{folder}/{name}")
                 rows = []
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = np.frombuffer(codec.encode(t.as_py() or ""), "<u4")
-                    if end_id is not None:
-                        ids = np.append(ids, np.uint32(end_id))
-                    record = frame(serialize(k, ids))
+                    ids = codec.encode(t.as_py() or "") + end
+                    record, n = frame(serialize(k, ids, codec.width)), len(ids) // codec.width
                     out.write(record)
-                    rows.append((part, seq, k, name, offset, len(record), len(ids), start))
-                    offset, seq, start = offset + len(record), seq + 1, start + len(ids)
+                    rows.append((part, seq, k, name, offset, len(record), n, start))
+                    offset, seq, start = offset + len(record), seq + 1, start + n
                 if rows:
                     cols = list(zip(*rows))
                     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4)
@@ -161,7 +156,8 @@ def write_records(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
 
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     ranged = rows.repartitionByRange(F.col("key"), F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
-    ranged.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{path}/index")
+    with small_batches(spark):
+        ranged.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
 
