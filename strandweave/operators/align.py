@@ -40,10 +40,26 @@ def aligner(mode: str = "NW", task: str = "DISTANCE", k: int = -1, equalities: l
     return align
 
 
+#: Results of short pairs that a worker remembers; beyond so many it starts anew.
+REMEMBERED, SHORT = 200_000, 32
+_memory: dict[tuple[str, str], tuple[int, int]] = {}
+
+
+def remembered_pairs(pairs: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """``kernels.distance_and_matches``, each distinct pair once."""
+    new = [p for p in dict.fromkeys(pairs) if p not in _memory]
+    found = dict(zip(new, kernels.distance_and_matches(new)))
+    out = [found[p] if p in found else _memory[p] for p in pairs]
+    if len(_memory) + len(found) > REMEMBERED:
+        _memory.clear()
+    _memory.update((p, r) for p, r in found.items() if len(p[0]) + len(p[1]) <= SHORT)
+    return out
+
+
 @F.arrow_udf(T.StructType([T.StructField("distance", T.IntegerType()), T.StructField("matches", T.IntegerType())]))
 def distance_and_matches(queries: pa.Array, targets: pa.Array) -> pa.Array:
     """Global distance, and matches on the traced path; (-1, 0) where a side is empty."""
-    found = kernels.distance_and_matches([(q or "", t or "") for q, t in zip(queries.to_pylist(), targets.to_pylist())])
+    found = remembered_pairs([(q or "", t or "") for q, t in zip(queries.to_pylist(), targets.to_pylist())])
     return pa.StructArray.from_arrays([pa.array([d for d, _ in found], pa.int32()), pa.array([m for _, m in found], pa.int32())], names=["distance", "matches"])
 
 

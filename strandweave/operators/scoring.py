@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import homopolymer_compress
@@ -43,13 +44,17 @@ _EXTRA = {
 def all_scores(blocks: DataFrame, strands: DataFrame) -> DataFrame:
     """Every block against every monomer, one row a pair: identity and homopolymer identity.
 
-    The monomers are a checked, small side; the pairs stream through one Arrow function each.
+    The monomers are a checked, small side; the pairs stream through one Arrow evaluation. A name that
+    occurs twice has its first one's place, and only its last one's score counts (``stands``).
     """
-    pairs = blocks.withColumn("homo_segment", homopolymer_compress(F.col("segment"))).join(
-        F.broadcast(strands.select("rank_ordinal", F.col("name").alias("candidate"), F.col("seq").alias("candidate_seq"), "homo_seq"))
-    )
+    named = W.partitionBy("name")
+    side = strands.select(
+        "rank_ordinal", F.col("name").alias("candidate"), F.col("seq").alias("candidate_seq"), "homo_seq",
+        F.min("rank_ordinal").over(named).alias("place"), (F.col("rank_ordinal") == F.max("rank_ordinal").over(named)).alias("stands"),
+    )
+    pairs = blocks.withColumn("homo_segment", homopolymer_compress(F.col("segment"))).join(F.broadcast(side))
     return pairs.select(
-        *blocks.columns, "rank_ordinal", "candidate",
+        *blocks.columns, "rank_ordinal", "candidate", "place", "stands",
         identity(F.col("segment"), F.col("candidate_seq")).alias("candidate_identity"),
         identity(F.col("homo_segment"), F.col("homo_seq")).alias("homo_identity"),
     )
@@ -59,28 +64,20 @@ def score_full(blocks: DataFrame, strands: DataFrame) -> DataFrame:
     """Blocks with second best, best two by homopolymer identity, and ``alt``: all names' identities.
 
     Aggregation is on the block's key, right after the pairs are made, so it combines on the map side.
+    Of equal scores the first in rank order comes first.
     """
-    entry = F.struct("rank_ordinal", F.col("candidate").alias("name"), F.col("candidate_identity").alias("identity"), "homo_identity")
+    entry = F.struct("place", "rank_ordinal", "stands", F.col("candidate").alias("name"), F.col("candidate_identity").alias("identity"), "homo_identity")
     carried = [c for c in blocks.columns if c not in KEY]
     grouped = all_scores(blocks, strands).groupBy(*KEY).agg(*[F.first(c).alias(c) for c in carried], F.array_sort(F.collect_list(entry)).alias("all"))
-    # a name that occurs twice keeps its first place and its last score
-    names = F.array_distinct(F.transform("all", lambda x: x["name"]))
-    alt = F.transform(
-        names,
-        lambda n: F.struct(n.alias("name"), F.element_at(F.filter("all", lambda x: x["name"] == n), -1)["identity"].alias("identity")),
-    )
-    # of equal scores the first in order: sort by (-score, place)
-    ranked = F.array_sort(
-        F.transform(F.filter("alt", lambda x: x["name"] != F.col("monomer")), lambda x: F.struct((-x["identity"]).alias("i"), F.array_position(F.transform("alt", lambda y: y["name"]), x["name"]).alias("at"), x["name"].alias("name")))
-    )
+    alt = F.transform(F.filter("all", lambda x: x["stands"]), lambda x: F.struct(x["name"].alias("name"), x["identity"].alias("identity")))
+    ranked = F.array_sort(F.transform(F.filter("all", lambda x: x["stands"] & (x["name"] != F.col("monomer"))), lambda x: F.struct((-x["identity"]).alias("i"), x["place"].alias("at"), x["name"].alias("name"))))
     homo = F.array_sort(F.transform("all", lambda x: F.struct((-x["homo_identity"]).alias("i"), x["rank_ordinal"].alias("at"), x["name"].alias("name"))))
+    own = F.filter("all", lambda x: x["stands"] & (x["name"] == F.col("monomer")))
     return (
-        grouped.withColumn("alt", alt)
-        .withColumn("ranked", ranked)
-        .withColumn("homo", homo)
+        grouped.withColumns({"alt": alt, "ranked": ranked, "homo": homo, "own": own})
         .withColumns(
             {
-                "identity": F.element_at(F.filter("alt", lambda x: x["name"] == F.col("monomer")), 1)["identity"],
+                "identity": F.get("own", F.lit(0))["identity"],
                 "second_best": F.get("ranked", F.lit(0))["name"],
                 "second_best_identity": -F.get("ranked", F.lit(0))["i"],
                 "homo_best": F.get("homo", F.lit(0))["name"],
@@ -89,7 +86,7 @@ def score_full(blocks: DataFrame, strands: DataFrame) -> DataFrame:
                 "homo_second_best_identity": -F.get("homo", F.lit(1))["i"],
             }
         )
-        .drop("all", "ranked", "homo")
+        .drop("all", "ranked", "homo", "own")
     )
 
 

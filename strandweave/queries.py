@@ -1,4 +1,4 @@
-"""Queries over the driver's tables: documents are reads, the distinct part names are monomers."""
+"""Queries over the driver's tables: documents are reads, part names make the monomers."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from .operators.scoring import reliability
 from .params import RELIABILITY, Options
 from .plans.decompose import decompose
 
-PART_SIZE, OVERLAP, ED_THR = 500, 100, 1
+PART_SIZE, OVERLAP, ED_THR = 500, 100, 6
 OPTIONS = Options(part_size=PART_SIZE, overlap=OVERLAP)
 
 
@@ -29,15 +29,17 @@ def reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monomers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names (a small, fixed vocabulary) with a sequence, in the order of their names."""
-    names = _table(spark, sf_dir, "part").select(F.regexp_replace("p_name", " ", "_").alias("name")).distinct()
-    rows = names.withColumn("seq", S.bases(F.col("name"))).where("seq <> ''")
+    """One monomer for each first word of the part names (a small, fixed vocabulary): all such names' bases, joined."""
+    names = _table(spark, sf_dir, "part").select("p_name").distinct().withColumn("name", F.substring_index("p_name", " ", 1))
+    joined = names.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("p_name")), "").alias("names"))
+    rows = joined.select("name", S.bases(F.col("names")).alias("seq")).where("seq <> ''")
     return rows.select((F.row_number().over(W.orderBy("name")) - 1).alias("ordinal"), "name", "seq")
 
 
 READS_SQL = "SELECT doc_id AS read_ordinal, CAST(doc_id AS VARCHAR) AS read_name, upper(regexp_replace(coalesce(text, ''), '[^ACGTNacgtn]', '', 'g')) AS seq FROM documents"
 MONOMERS_SQL = """SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS ordinal, name, seq FROM (
-    SELECT DISTINCT replace(p_name, ' ', '_') AS name, upper(regexp_replace(p_name, '[^ACGTNacgtn]', '', 'g')) AS seq FROM part) WHERE seq <> ''"""
+    SELECT split_part(p_name, ' ', 1) AS name, upper(regexp_replace(string_agg(p_name, '' ORDER BY p_name), '[^ACGTNacgtn]', '', 'g')) AS seq
+    FROM (SELECT DISTINCT p_name FROM part) GROUP BY 1) WHERE seq <> ''"""
 STRANDS_SQL = f"""WITH m AS ({MONOMERS_SQL}), c AS (SELECT count(*) AS n FROM m),
     s AS (SELECT ordinal AS dp_ordinal, 2 * ordinal AS rank_ordinal, name, seq FROM m
           UNION ALL SELECT CAST(ordinal + n AS INTEGER), 2 * ordinal + 1, name || '''', reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM m, c)"""
@@ -173,7 +175,7 @@ def raw_blocks(spark, sf_dir):
 
 
 def pruned_blocks(spark, sf_dir):
-    return _decomposed(spark, sf_dir, ed_thr=0).raw
+    return _decomposed(spark, sf_dir, ed_thr=ED_THR).raw
 
 
 def light_decomposition(spark, sf_dir):
