@@ -7,7 +7,8 @@ counts are taken out of the estimates for that purpose.
 Texts are taken in blocks of about ``TOKENS`` tokens. A block keeps its distinct word and bigram
 hashes once, sorted, with counts; slices of the hash space go to reducers as packed arrays (not
 as a row for each n-gram). A reducer sums its slice over all blocks and answers every block with
-the corpus counts of that block's own n-grams, in order. So a block is scored with nothing but
+the corpus counts of that block's own n-grams, in order. The texts' packed tokens wait in a file a
+block in the shared folder. So a block is scored with nothing but
 its own n-grams' counts, no model is broadcast, and a frequent word costs one entry a block.
 
 Defined results: a null or empty text is the end token alone. Repeated rows and ids are texts
@@ -26,14 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, new_file, open_fs, release, shared_dir, tidied
 from .ngram_join import _STEP, _Powers, mix
 
 #: Tokens of a block, and UTF-8 bytes of text for each slice of the hash space.
-TOKENS, SLICE_BYTES = 2_000_000, 24 << 20
+TOKENS, SLICE_BYTES = 800_000, 24 << 20
+#: A bigram's hash has so many bits beyond those that number the corpus's tokens: two bigrams of a
+#: corpus share a hash with a chance of about 2 ** -SPARE_BITS. Word hashes keep all 64 bits.
+SPARE_BITS = 22
 #: crc32 remainders modulo 10: held out of training, and the fold that the weights are learned on.
 HELD_OUT, FOLD = 0, 9
 #: Context-frequency buckets (powers of two) and steps per octave of the estimates in the EM's table.
@@ -87,8 +92,8 @@ def rising(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
 
-def _block_rows(docs: list[tuple], slices: int) -> tuple[list, ...]:
-    """Rows of one block: its texts (slice -1) and a request to every slice."""
+def _block_rows(docs: list[tuple], slices: int, name: str, bits: int = 64) -> list[tuple]:
+    """Rows of one block: its texts (a slice below 0) and a request to every slice."""
     words = [d[2] for d in docs]
     sizes = np.array([len(w) for w in words], np.int64)
     word = np.concatenate(words)
@@ -96,7 +101,7 @@ def _block_rows(docs: list[tuple], slices: int) -> tuple[list, ...]:
     before = np.empty_like(word)
     before[1:] = word[:-1]
     before[ends - sizes] = BEGIN
-    bigram = mix(before * _STEP + word)
+    bigram = mix(before * _STEP + word) >> np.uint64(64 - bits)
     fold = np.repeat(np.array([d[1] for d in docs]), sizes)
     train, em = (fold != HELD_OUT), (fold == FOLD)
     uw, wi = np.unique(word, return_inverse=True)
@@ -108,10 +113,9 @@ def _block_rows(docs: list[tuple], slices: int) -> tuple[list, ...]:
     types = bi.astype(np.uint32)
     for a, b in zip(ends - sizes, ends):  # the order of a text's tokens doesn't matter to a sum
         types[a:b] = rising(np.sort(types[a:b]))
-    name = uuid.uuid4().hex
-    bounds = np.array([(k << 64) // slices for k in range(slices)], np.uint64)
-    wcut, bcut = np.append(np.searchsorted(uw, bounds), len(uw)), np.append(np.searchsorted(ub, bounds), len(ub))
-    rows = [(name, -1, [d[0] for d in docs], [d[1] for d in docs], sizes.tolist(), pack(types, current, previous, np.diff(wcut).astype(np.uint32), np.diff(bcut).astype(np.uint32)))]
+    bounds = lambda b: np.array([-(-(k << b) // slices) for k in range(slices)], np.uint64)
+    wcut, bcut = np.append(np.searchsorted(uw, bounds(64)), len(uw)), np.append(np.searchsorted(ub, bounds(bits)), len(ub))
+    rows = [(name, -1 - zlib.crc32(name.encode()) % slices, [d[0] for d in docs], [d[1] for d in docs], sizes.tolist(), pack(types, current, previous, np.diff(wcut).astype(np.uint32), np.diff(bcut).astype(np.uint32)))]
     for k in range(slices):
         w, b = slice(wcut[k], wcut[k + 1]), slice(bcut[k], bcut[k + 1])
         rows.append((name, k, None, None, None, pack(rising(uw[w]), cw[w], ew[w], rising(ub[b]), cb[b], eb[b])))
@@ -124,25 +128,37 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["block", "slice", "doc_ids", "buckets", "lengths", "payload"])
 
 
-def _blocks(slices: int):
+def _blocks(slices: int, bits: int, path: str):
+    """Rows of all blocks. A block's texts go to a file below ``path``, their row holds its name."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, size = [], 0
+        docs, size, number = [], 0, 0
+        fs, folder = open_fs(path)
+
+        def rows() -> pa.RecordBatch:
+            head, *asked = _block_rows(docs, slices, f"{part}-{number}", bits)
+            file = f"{head[0]}-{uuid.uuid4().hex[:12]}.block"
+            with new_file(fs, f"{folder}/{file}") as out:
+                out.write(head[5])
+            return tidied(_batch([(*head[:5], file.encode()), *asked]))
+
+        part = TaskContext.get().partitionId()  # a task that runs again gives its blocks the same names
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
                 key = doc.as_py()
                 docs.append((key, zlib.crc32(b"" if key is None else str(key).encode()) % 10, tokens_of(text.as_py() or "")))
                 size += len(docs[-1][2])
                 if size >= TOKENS:
-                    yield _batch(_block_rows(docs, slices))
-                    docs, size = [], 0
+                    yield rows()
+                    docs, size, number = [], 0, number + 1
         if docs:
-            yield _batch(_block_rows(docs, slices))
+            yield rows()
 
     return build
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Corpus counts of every request of a slice, then the slice's totals (block null)."""
+    """Corpus counts of every request of a slice, then the slice's totals (block null); texts pass through."""
 
     def done(k: int, asked: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(p) for _, p in asked]
@@ -164,12 +180,15 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     slice_, asked = None, []
     for batch in batches:
-        for name, k, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        for row, (name, k) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if k < 0:
+                yield batch.slice(row, 1)
+                continue
             if k != slice_:
                 if asked:
                     yield from done(slice_, asked)
                 slice_, asked = k, []
-            asked.append((name, payload.as_py()))
+            asked.append((name, batch.column(5)[row].as_py()))
     if asked:
         yield from done(slice_, asked)
 
@@ -198,9 +217,10 @@ class Block:
         return bucket, cb / np.maximum(context, 1), cw[self.current] / max(n, 1)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def _grouped(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[Block]:
     """Blocks from rows sorted by (block, slice)."""
     name, head, answers = None, None, []
+    fs, folder = open_fs(path)
     for batch in batches:
         names, slices = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i in range(batch.num_rows):
@@ -208,7 +228,9 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
                 if head is not None:
                     yield Block(*head, answers)
                 name, answers = names[i], []
-                head = [batch.column(c)[i].as_py() for c in (2, 3, 4, 5)]
+                head = [batch.column(c)[i].as_py() for c in (2, 3, 4)]
+                with fs.open_input_stream(f"{folder}/{batch.column(5)[i].as_py().decode()}") as source:
+                    head.append(source.read())
             else:
                 if names[i] != name:
                     raise ValueError("an answer without its block")
@@ -256,11 +278,14 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(4, math.ceil(total / SLICE_BYTES))
-    made = materialize(rows.mapInArrow(_blocks(slices), BLOCK), "lm-blocks")
-    asked = made.where("slice >= 0").select("block", "slice", "payload").repartition(slices, "slice").sortWithinPartitions("slice", "block")
+    bits = min(64, max(1, total // 4).bit_length() + SPARE_BITS)
+    path = shared_dir(df.sparkSession, "lm-texts")
+    asked = rows.mapInArrow(_blocks(slices, bits, path), BLOCK).repartition(slices, "slice").sortWithinPartitions("slice", "block")
     answers = materialize(asked.mapInArrow(_answer, BLOCK), "lm-counts")
+    del asked
+    release(df.sparkSession)
     sums = answers.where("block is null").select(*[F.sum(F.col("doc_ids")[k]).alias(f"s{k}") for k in range(6)]).first()
-    texts = made.where("slice < 0").select(F.explode("buckets").alias("f")).groupBy("f").count().collect()
+    texts = answers.where("slice < 0").select(F.explode("buckets").alias("f")).groupBy("f").count().collect()
     texts = {r["f"]: r["count"] for r in texts}
     totals = {
         "n": sums["s0"] or 0,
@@ -270,11 +295,10 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         "texts_em": texts.get(FOLD, 0),
     }
     uniform = 1 / (totals["v"] + 1)
-    together = made.where("slice < 0").unionByName(answers.where("block is not null"))
-    together = together.repartition("block").sortWithinPartitions("block", "slice")
+    together = answers.where("block is not null").repartition("block").sortWithinPartitions("block", "slice")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _grouped(batches):
+        for block in _grouped(batches, path):
             bucket, f2, f1 = block.estimates(totals, True)
             hit = np.flatnonzero(block.folds == FOLD)
             seen = np.concatenate([block.types[block.starts[k] : block.starts[k] + block.lengths[k]] for k in hit] or [np.empty(0, np.int64)])
@@ -286,11 +310,12 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*distinct.T, sums_)], names=["b", "f2", "f1", "n"])
 
     found = together.mapInArrow(cells, "b long, f2 long, f1 long, n long").groupBy("b", "f2", "f1").agg(F.sum("n").alias("n")).toPandas()
+    release(df.sparkSession)
     weights = learn_weights(found[["b", "f2", "f1", "n"]].to_numpy(np.int64), uniform)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = totals["n"], totals["v"]
-        for block in _grouped(batches):
+        for block in _grouped(batches, path):
             bucket, f2, f1 = block.estimates(totals, False)
             w = weights[bucket]
             log = np.log10(w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] * uniform)
