@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memory, sized_broadcast
+from .common import Memory, sized_broadcast, tidied
 
 #: Split rule of the public 50k byte-level vocabulary, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Largest vocabulary file that is broadcast.
 VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens remembered by a worker (results don't depend on it).
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -138,7 +138,7 @@ class ByteBpe:
 
         @F.arrow_udf(T.BinaryType())
         def encode(texts: pa.Array) -> pa.Array:
-            return pa.array(coded(texts, _codec(path, blob, pattern)), pa.binary())
+            return tidied(pa.array(coded(texts, _codec(path, blob, pattern)), pa.binary()))
 
         @F.arrow_udf(T.BinaryType())
         def decode(ids: pa.Array) -> pa.Array:
@@ -150,7 +150,7 @@ class ByteBpe:
             codec = _codec(path, blob, pattern)
             ids = coded(texts, codec)
             decoded = [codec.decode(x) for x in ids]
-            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["ids", "decoded"])
+            return tidied(pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["ids", "decoded"]))
 
         #: ``round_trip`` encodes once and decodes those ids; ``decode(encode(x))`` next to ``encode(x)`` would encode twice.
         self.encode, self.decode, self.round_trip = encode, decode, round_trip

@@ -6,12 +6,13 @@ Executors can be lost at any time, so anything that cuts a lineage is written be
 
 from __future__ import annotations
 
-import contextlib
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,23 +38,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of fewer rows for the jobs started within: texts are long, and JVM and worker hold a batch each."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; the lineage ends there."""
     path = path or shared_dir(df.sparkSession, name)
-    with small_batches(df.sparkSession):
-        df.write.parquet(path)
+    bounded_batches(df.sparkSession)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
 
 
@@ -68,18 +57,36 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession, rows: int = 250) -> None:
+    """Fewer rows in each Arrow batch of this session: texts are long, and JVM and worker hold a batch each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def tidied(result):
+    """``result``, after the worker gave memory that it no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+    return result
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver; also bounds the session's Arrow batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -113,6 +120,11 @@ def sized_broadcast(spark: SparkSession, value: bytes, most: int):
     return spark.sparkContext.broadcast(value)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast where it has at most ``most`` rows; else it stays as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def clash_free(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have yet."""
     name, k = stem, 0

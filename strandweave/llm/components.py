@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
+
+
+#: Most nodes whose labels (about 50 bytes each) are broadcast in a round; beyond it the joins shuffle.
+BROADCAST_NODES = 300_000
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -25,13 +29,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     labels = materialize(both.groupBy("node").agg(F.min(F.least("node", F.coalesce("other", "node"))).alias("label")), "labels")
     for _ in range(rounds):
         sent = (
-            both.join(labels, "node")
+            both.join(small(labels, BROADCAST_NODES), "node")
             .where("other is not null")
             .groupBy(F.col("other").alias("node"))
             .agg(F.min("label").alias("seen"))
         )
         offered = labels.join(sent, "node", "left").select("node", "label", F.least("label", F.coalesce("seen", "label")).alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
+        jump = small(labels.select(F.col("node").alias("next"), F.col("label").alias("beyond")), BROADCAST_NODES)
         moved = materialize(
             offered.join(jump, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("label"), "label", "next").toDF("node", "label", "old", "next"),
             "labels",

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 Q, WINDOW, ERROR = 12, 80, 0.05
 #: Characters of benchmark items that are compared at a time.
 BLOCK_CHARS = 4 << 20
@@ -275,7 +277,7 @@ def _clean(block: list[tuple]):
     def clean(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(Items(block))
-        return pa.array([not verified(held[0], normalize(t.as_py() or "")[0]) for t in texts], pa.bool_())
+        return tidied(pa.array([not verified(held[0], normalize(t.as_py() or "")[0]) for t in texts], pa.bool_()))
 
     return clean
 

@@ -280,7 +280,8 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     slices = max(4, math.ceil(total / SLICE_BYTES))
     bits = min(64, max(1, total // 4).bit_length() + SPARE_BITS)
     path = shared_dir(df.sparkSession, "lm-texts")
-    asked = rows.mapInArrow(_blocks(slices, bits, path), BLOCK).repartition(slices, "slice").sortWithinPartitions("slice", "block")
+    asked = rows.mapInArrow(_blocks(slices, bits, path), BLOCK).repartitionById(slices, F.when(F.col("slice") < 0, -1 - F.col("slice")).otherwise(F.col("slice")))
+    asked = asked.sortWithinPartitions("slice", "block")
     answers = materialize(asked.mapInArrow(_answer, BLOCK), "lm-counts")
     del asked
     release(df.sparkSession)

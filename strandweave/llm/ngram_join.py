@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small, tidied
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -46,6 +46,8 @@ TOLERANCE = 1e-6
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Most ids (8 bytes each) that are broadcast to pick texts; beyond it that join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Most rows of at most 150 bytes that are broadcast; beyond it those joins shuffle.
+BROADCAST_ROWS = 200_000
 
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(1, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -234,7 +236,7 @@ def least_matches_cached(n: int) -> int:
 def shingles_udf():
     @F.arrow_udf("binary")
     def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py() or "").tobytes() for t in texts], pa.binary())
+        return tidied(pa.array([shingle_set(t.as_py() or "").tobytes() for t in texts], pa.binary()))
 
     return shingles
 
@@ -243,10 +245,10 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     """Edges (a, b) between class keys, or a class key and a large bucket's own node."""
     rows = classes.where("n > 0").select("key", F.explode("bands").alias("h"))
     full = materialize(rows.groupBy("h").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    shared = materialize(rows.join(full, "h"), "shared")
+    shared = materialize(rows.join(small(full, BROADCAST_IDS), "h"), "shared")
     member = materialize(shared.join(classes.select("key", "n", "sketch"), "key"), "members")
-    small = member.where(F.col("members") <= BUCKET)
-    x, y = small.alias("x"), small.alias("y")
+    few = member.where(F.col("members") <= BUCKET)
+    x, y = few.alias("x"), few.alias("y")
     same = F.lit(0)
     nibble = 0x1111111111111111
     for k in range(4):
@@ -281,18 +283,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     clusters = components(candidate_edges(classes)).where(F.length("node") == 16)
 
     # shingles of the clustered classes alone, from the text of one document each
-    wanted = materialize(clusters.join(grouped, F.col("node") == F.col("key")).select("key", "label", "copy_id", "copies"), "wanted")
+    wanted = materialize(grouped.join(small(clusters, BROADCAST_ROWS), F.col("node") == F.col("key")).select("key", "label", "copy_id", "copies"), "wanted")
     ids = wanted.select(F.col("copy_id").alias("doc_id")).distinct()
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     same_id = docs["doc_id"].eqNullSafe(ids["doc_id"])
-    texts = docs.join(F.broadcast(ids) if few else ids, same_id, "left_semi").select("text")
+    texts = docs.join(small(ids, BROADCAST_IDS), same_id, "left_semi").select("text")
     sets = (
         texts.withColumn("shingles", shingles_udf()("text"))
         .select(F.unhex(F.md5("shingles")).alias("key"), "shingles")
         .where(F.length("shingles") > 0)
         .dropDuplicates(["key"])
     )
-    held = materialize(wanted.join(sets, "key").join(classes.select("key", "sig"), "key"), "sets")
+    signatures = materialize(classes.select("key", "sig").join(small(wanted, BROADCAST_ROWS), "key"), "signatures")
+    held = materialize(sets.join(small(signatures, BROADCAST_ROWS), "key"), "sets")
     share = held.groupBy("label").agg(F.count("*").alias("c"), F.sum(F.octet_length("shingles")).alias("s"))
     share = materialize(
         share.where("c > 1").select("label", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / (8 * BLOCK_SHINGLES))).cast("int").alias("blocks")), "blocks"
@@ -345,7 +347,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     )
     return (
         signed.select("doc_id", "key")
-        .join(info, "key", "left")
+        .join(small(info, BROADCAST_ROWS), "key", "left")
         .select(
             "doc_id",
             F.coalesce("class_id", "doc_id").alias("class_id"),

@@ -29,11 +29,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import Memory, new_file, open_fs, ranges, shared_dir, sized_broadcast, small_batches
+from .common import Memory, bounded_batches, new_file, open_fs, ranges, shared_dir, sized_broadcast
 
 VOCABULARY_BYTES = 64 << 20
 #: Words remembered by a worker (results don't depend on it).
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 INDEX_SCHEMA = "part int, seq long, key long, file string, offset long, length long, n_tokens long, local_start long"
 
@@ -156,8 +156,8 @@ def write_records(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
 
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     ranged = rows.repartitionByRange(F.col("key"), F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
-    with small_batches(spark):
-        ranged.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{path}/index")
+    bounded_batches(spark)
+    ranged.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
 
@@ -176,7 +176,9 @@ def read_records(index: DataFrame, path: str, tasks: int | None = None) -> DataF
     """
     tasks = tasks or max(1, index.select("file").distinct().count())
     columns = [c for c in index.columns if c not in ("key", "file", "offset", "length")]
-    rows = index.select("file", "offset", "length", *columns).repartition(tasks, "file").sortWithinPartitions("file", "offset")
+    rows = index.select("file", "offset", "length", *columns)
+    rows = rows.repartitionById(tasks, F.col("part").cast("int")) if "part" in columns else rows.repartition(tasks, "file")
+    rows = rows.sortWithinPartitions("file", "offset")
     kinds = dict(rows.dtypes)
     schema = "key long, ids binary, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns)
 

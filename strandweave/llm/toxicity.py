@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clash_free, id_bucket, materialize
+from .common import clash_free, id_bucket, materialize, small, tidied
 
 #: A term occurs in at least so many toxic texts, with at least this log odds ratio and G-test value
 #: (the latter holds the expected number of chance terms among a million candidates below 0.01).
@@ -47,8 +47,9 @@ INNOCENT = 50_000
 BROADCAST_ROWS = 400_000
 #: Bits (as a power of two) of the map of toxic terms.
 BITMAP = 20
-PARTIAL = 400_000
-REMEMBERED = 400_000
+#: Entries of a task's counts before they are passed on.
+PARTIAL = 150_000
+REMEMBERED = 120_000
 WINDOW = 6
 THRESHOLD = 0.7
 
@@ -242,11 +243,6 @@ def choose_terms(rows: list[tuple[str, bool, float, float]]) -> list[tuple[str,
     return taken
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast where it has few rows; else it stays as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _terms_of(text: str) -> set[str]:
     """Words (with a closing sign) and stems of a text."""
     low, high = STEM
@@ -268,7 +264,7 @@ def _counter(of, schema: str = "term string, n long"):
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
             counts.clear()
-            return out
+            return tidied(out)
 
         for batch in batches:
             for text in batch.column(0):
@@ -294,9 +290,9 @@ class ToxicityModel:
         rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
         rows = rows.where(id_bucket(F.col("id"), 3) != 1)
         code = F.unhex(F.sha1(F.col("text").cast("binary")))
-        marked = rows.select("id", code.alias("code")).join(_small(materialize(marks, "toxic-marks")), "id")
+        marked = rows.select("id", code.alias("code")).join(small(materialize(marks, "toxic-marks"), BROADCAST_ROWS), "id")
         kept = marked.groupBy("code").agg(F.min("id").alias("id"), (F.max("toxic") > 0).cast("int").alias("toxic"))
-        kept = _small(materialize(kept, "toxic-kept"))
+        kept = small(materialize(kept, "toxic-kept"), BROADCAST_ROWS)
         return rows.join(kept, "id").where(F.col("code") == code).select("text", "toxic")
 
     @classmethod
@@ -359,7 +355,7 @@ class ToxicityModel:
         def features(texts: pa.Array) -> pa.Array:
             if not held:
                 held.append(Scorer(lexicon))
-            return pa.array([held[0].features(t.as_py() or "") for t in texts], pa.list_(pa.float64()))
+            return tidied(pa.array([held[0].features(t.as_py() or "") for t in texts], pa.list_(pa.float64())))
 
         return features(F.col(f"`{text}`"))
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_file, open_fs, ranges, shared_dir, small_batches
+from .common import bounded_batches, materialize, new_file, open_fs, ranges, shared_dir
 
 #: Payloads below this size are stored each time.
 LEAST_BYTES = 1000
@@ -132,8 +132,8 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
             if out is not None:
                 out.close()
 
-    with small_batches(df.sparkSession):
-        planned.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{path}/index")
+    bounded_batches(df.sparkSession)
+    planned.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{path}/index")
     return df.sparkSession.read.parquet(f"{path}/index")
 
 
