@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.llm.bpe import ByteBpe
-from strandweave.llm.common import clash_free, materialize, table
+from strandweave.llm.common import bounded_batches, clash_free, materialize, small, table
 from strandweave.llm.decontaminate import without_contaminated
-from strandweave.llm.ngram_join import near_duplicates
+from strandweave.llm.ngram_join import BROADCAST_IDS, near_duplicates
 from strandweave.llm.queries import tokenizer_path
 from strandweave.llm.secret_scan import redact
 from strandweave.llm.toxicity import THRESHOLD, ToxicityModel
@@ -33,13 +33,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     text hash stays.
     """
     classes = materialize(near_duplicates(docs).select("doc_id", "class_id"), "classes")
-    kept = materialize(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    single = docs.join(kept.where("rows = 1"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("rows > 1"), "doc_id", "left_semi")
+    goes = small(classes.where("doc_id <> class_id").select("doc_id").distinct(), BROADCAST_IDS)
+    kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialize(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.limit(1).count() == 0:
+        return kept
     rank = clash_free(docs, "rank")
-    first = repeated.withColumn(rank, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(rank) == 1).drop(rank)
-    whole = single.unionByName(docs.where("doc_id is null"))
-    return whole if kept.where("rows > 1").limit(1).count() == 0 else whole.unionByName(first)
+    one = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    first = one.withColumn(rank, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(rank) == 1).drop(rank)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +51,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: each secret becomes a sign; ``n_chars`` counts the new text."""
+    bounded_batches(spark)
     return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: ids of every document, and digests of the ids and of the text decoded from them."""
+    bounded_batches(spark)
     bpe = ByteBpe(spark, tokenizer_path("byte_bpe_50k.tiktoken"))
     coded = docs.select("doc_id", "lang", "source", "n_chars", bpe.round_trip("text").alias("coded"))
     return coded.select(
