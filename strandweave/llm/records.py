@@ -29,11 +29,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import Memory, bounded_batches, new_file, open_fs, ranges, shared_dir, sized_broadcast
+from .common import Memory, bounded_batches, new_file, open_fs, ranges, shared_dir, sized_broadcast, tidied
 
 VOCABULARY_BYTES = 64 << 20
 #: Words remembered by a worker (results don't depend on it).
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 INDEX_SCHEMA = "part int, seq long, key long, file string, offset long, length long, n_tokens long, local_start long"
 
@@ -149,7 +149,7 @@ def write_records(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
                 if rows:
                     cols = list(zip(*rows))
                     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in INDEX_SCHEMA.split(", ")])
+                    yield tidied(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in INDEX_SCHEMA.split(", ")]))
         finally:
             if out is not None:
                 out.close()
@@ -200,6 +200,7 @@ def read_records(index: DataFrame, path: str, tasks: int | None = None) -> DataF
                     [pa.array([k for k, _ in got], pa.int64()), pa.array([v.tobytes() for _, v in got], pa.binary()), *picked.columns[3:]],
                     names=["key", "ids", *columns],
                 )
+            tidied(None)
         if source is not None:
             source.close()
 
