@@ -4,7 +4,8 @@ Texts and items are compared as words of lower-case letters and digits joined by
 blanks. A stretch of ``WINDOW`` characters (or a whole shorter item) with at most ``ERROR`` edits
 per character keeps at least ``window - q + 1 - q * edits`` of its q-grams, all near one
 diagonal. So shared q-grams are counted in diagonal bands that overlap by half, over sliding
-windows; windows that reach the count become regions, and a banded alignment verifies each.
+windows; windows that reach the count become regions. A banded alignment of the item finds the
+longest stretch; a region outside it is verified window by window, by edit distance.
 
 Benchmark items go through in blocks of a bounded size, each against all documents; no join
 and no shuffle takes place.
@@ -17,6 +18,7 @@ documents are not read. Empty tables give empty results.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -169,8 +171,8 @@ def regions(items: Items, points: np.ndarray) -> list[tuple[int, int, int, int,
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int] | None:
     """Best banded local alignment: (item from, to, text from, to, edits).
 
-    A match scores 1 and an edit costs so much that a stretch beyond the error rate scores below
-    zero. Diagonals (text place - item place) run from ``low`` to ``high``.
+    A match scores 1 and an edit costs 1 / (2 * ERROR), so a stretch may outgrow the error rate;
+    the caller checks it. Diagonals (text place - item place) run from ``low`` to ``high``.
     """
     cost = int(1 / (2 * ERROR))
     width = high - low + 1
@@ -204,8 +206,80 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
     return (a, j, b, i, e) if score else None
 
 
+def good_windows(item: np.ndarray, points: np.ndarray, lo: int, hi: int, low: int, high: int) -> np.ndarray:
+    """Item places where a window starts that lies within its edits of some stretch of the text near ``lo`` to ``hi``.
+
+    Edit distances of all windows at once; the stretch's ends are free within the diagonals ``low`` to
+    ``high`` widened by the edits.
+    """
+    window, edits, _ = bound(len(item))
+    low, width = low - edits, high - low + 2 * edits + 1
+    first, last = max(0, lo - high - window - edits), min(len(item) - window, hi - low + edits)
+    out = []
+    for a in range(first, last + 1, 4096):
+        n = min(4096, last + 1 - a)
+        place = a + low + np.arange(n + window + width)
+        inside = (place >= 0) & (place < len(points))
+        text = np.where(inside, points[np.clip(place, 0, len(points) - 1)].astype(np.int64), -1)
+        rows = np.lib.stride_tricks.sliding_window_view(text, width)
+        cells, steps = np.zeros((n, width), np.int32), np.arange(width, dtype=np.int32)
+        for j in range(window):
+            new = cells + (rows[j : j + n] != item[a + j : a + j + n, None])
+            np.minimum(new[:, :-1], cells[:, 1:] + 1, out=new[:, :-1])  # item character left out
+            cells = (np.minimum.accumulate(new - steps, axis=1) + steps).astype(np.int32)  # text characters left out
+        out.append(a + np.flatnonzero(cells.min(axis=1) <= edits))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def placed(item: np.ndarray, points: np.ndarray, start: int, low: int, high: int) -> tuple[int, int, int]:
+    """(text from, text to, edits) of the stretch nearest to the whole of ``item``, which starts at ``start`` of its item."""
+    values, width = points.tolist(), high - low + 1
+    cells = [(0, start + low + k) for k in range(width)]  # edits, text start
+    for j, c in enumerate(item.tolist(), start):
+        new: list = []
+        for k in range(width):
+            i = j + low + k
+            e, b = cells[k]
+            cell = (e + (not (0 <= i < len(values) and values[i] == c)), b)
+            if k + 1 < width and cells[k + 1][0] + 1 < cell[0]:
+                cell = (cells[k + 1][0] + 1, cells[k + 1][1])
+            if k and new[k - 1][0] + 1 < cell[0]:
+                cell = (new[k - 1][0] + 1, new[k - 1][1])
+            new.append(cell)
+        cells = new
+    e, k = min((cell[0], k) for k, cell in enumerate(cells))
+    return max(0, cells[k][1]), min(len(values), start + len(item) + low + k), e
+
+
+def windows_of(item: np.ndarray, points: np.ndarray, lo: int, hi: int, low: int, high: int) -> list[tuple[int, int, int, int, int]]:
+    """(text from, text to, item from, item to, edits): runs of good windows within the rate, single windows of the others.
+
+    Every good window overlaps one of the stretches.
+    """
+    window, edits, _ = bound(len(item))
+    starts = good_windows(item, points, lo, hi, low, high)
+    out = []
+    for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []:
+        a, b = int(run[0]), int(run[-1]) + window
+        i, j, e = placed(item[a:b], points, a, low - edits, high + edits)
+        if e <= ERROR * (b - a):
+            out.append((i, j, a, b, e))
+            continue
+        for a in range(a, b - window + 1, window):
+            i, j, e = placed(item[a : a + window], points, a, low - edits, high + edits)
+            out.append((i, j, a, a + window, e))
+        if a + window < b:  # the last one ends the run
+            i, j, e = placed(item[b - window : b], points, b - window, low - edits, high + edits)
+            out.append((i, j, b - window, b, e))
+    return out
+
+
 def verified(items: Items, points: np.ndarray) -> list[tuple]:
-    """(item number, text from, text to, item from, item to, edits) of verified stretches, the longest of overlapping ones."""
+    """(item number, text from, text to, item from, item to, edits) of verified stretches, the longest of overlapping ones.
+
+    The item is aligned as a whole, for the longest stretch; where that does not hold a region that
+    was kept, the region's own windows are compared.
+    """
     found = []
     for k, lo, hi, d0, d1 in regions(items, points):
         item = items.points[k]
@@ -214,16 +288,23 @@ def verified(items: Items, points: np.ndarray) -> list[tuple]:
         if d0 == d1 and 0 <= d0 and d0 + len(item) <= len(points) and np.array_equal(points[d0 : d0 + len(item)], item):
             found.append((k, d0, d0 + len(item), 0, len(item), 0))  # the whole item as it is
             continue
-        got = align(item, points[max(0, d0 - slack) : d1 + len(item) + slack], d0 - slack - max(0, d0 - slack), d1 + slack - max(0, d0 - slack))
-        if got is None:
-            continue
-        a, b, i, j, e = got
         base = max(0, d0 - slack)
-        if b - a >= window - edits and e <= ERROR * max(b - a, window):
-            found.append((k, base + i, base + j, a, b, e))
+        got = align(item, points[base : d1 + len(item) + slack], d0 - slack - base, d1 + slack - base)
+        if got is not None:
+            a, b, i, j, e = got
+            if b - a >= window - edits and e <= ERROR * max(b - a, window):
+                found.append((k, base + i, base + j, a, b, e))
+                if base + i <= lo and hi <= base + j:
+                    continue
+        found += [(k, *w) for w in windows_of(item, points, lo, hi, d0, d1)]
     best: list[tuple] = []
+    taken: list[tuple[int, int]] = []  # sorted, of the current item
     for r in sorted(set(found), key=lambda r: (r[0], r[5] - (r[4] - r[3]), r[1])):
-        if not any(x[0] == r[0] and x[1] < r[2] and r[1] < x[2] for x in best[-8:]):
+        if best and best[-1][0] != r[0]:
+            taken = []
+        at = bisect.bisect_left(taken, (r[2],))
+        if not at or taken[at - 1][1] <= r[1]:
+            taken.insert(at, (r[1], r[2]))
             best.append(r)
     return best
 

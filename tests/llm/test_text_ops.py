@@ -74,6 +74,46 @@ def test_decontamination_of_odd_rows(odd_docs, no_docs, spark):
     assert decontaminate.without_contaminated(odd_docs, bench).columns == odd_docs.columns
 
 
+def _found(item, text):
+    return decontaminate.verified(decontaminate.Items([(1, item)]), decontaminate.normalize(text)[0])
+
+
+def _spoilt(s, at):
+    return "".join("0" if k in at else c for k, c in enumerate(s))
+
+
+def test_more_copying_does_not_hide_a_region():
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("bcdfgklmnprstv") for _ in range(n))
+    item = text(320)
+    for copy in (item[:80] + text(240), _spoilt(item, set(range(80, 320, 12)))):  # 80 exact characters, then none or too many edits
+        assert any(a < 80 and e <= 0.05 * (b - a) for *_, a, b, e in _found(item, text(50) + copy + text(50)))
+    # four edits in 80 characters, near the end or spread, alone and between other text
+    for at in ({66, 70, 74, 78}, {16, 32, 48, 64}, {1, 3, 5, 7}):
+        got = _found(item, text(50) + _spoilt(item[100:180], at) + text(50))
+        assert got and all(e <= 4 for *_, e in got)
+    # two stretches of one item on one diagonal
+    got = _found(item, text(40) + item[:90] + text(140) + item[230:] + text(40))
+    assert len(got) == 2 and sorted(x[3] < 115 for x in got) == [False, True]
+
+
+def test_good_windows_equal_plain_distances(monkeypatch):
+    monkeypatch.setattr(decontaminate, "WINDOW", 20)
+    monkeypatch.setattr(decontaminate, "ERROR", 0.1)
+    r = random.Random(8)
+    points = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    for _ in range(30):
+        item = "".join(r.choice("abcd") for _ in range(45))
+        text = list(item)
+        for _ in range(r.randrange(1, 9)):
+            at = r.randrange(len(text))
+            text[at : at + r.randrange(2)] = r.choice(["", "a", "e"])
+        text = "".join(text)
+        got = set(decontaminate.good_windows(points(item), points(text), 0, len(text), -60, 60).tolist())
+        least = {a: min(decontaminate_distance(item[a : a + 20], text[i:j]) for i in range(max(0, a - 14), a + 14) for j in range(min(len(text), i + 18), min(len(text), i + 22) + 1)) for a in range(26)}
+        assert got == {a for a, e in least.items() if e <= 2}
+
+
 # -- operator 2
 
 
