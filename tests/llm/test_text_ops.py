@@ -310,3 +310,14 @@ def test_field_tags_and_decoding(spark, odd_docs, no_docs):
     assert masked[4] is None and "AKIA" not in masked[9] and masked[11] == "one two three"
     assert secret_scan.scan_documents(no_docs, field=field).count() == 0
     assert secret_scan.fit(no_docs).names and hashlib
+
+
+def test_secrets_of_short_tokens():
+    r = random.Random(9)
+    field = secret_scan.train(secret_scan.training_windows([(_words(r, 25), []) for _ in range(150)]))
+    found = lambda t: [t[a:b] for _, a, b in secret_scan.scan(field, t)[1]]
+    long = "abcdEFGH1234abcdEFGH1234abcd"
+    for lead, secret in (("pwd=", "aB3x-9ZkQ-7Lm2"), ("the key ", "aB3x-9ZkQ-7Lm2"), ("credential: ", "P@ss!w0rd"), ("pwd: ", "k9$Lq!2vX#7p"), ("use ", f"sk-{long}"), ("with ", f"hf_{long}")):
+        assert found(f"{lead}{secret} then") == [secret]
+    for plain in ("call +1 (415) 555-0100 or 123.45.678.90 today", "on 2024-03-17 at 10:30 we met", 'he said: "no!" and (then) left; U.S.A. is B2B', "Well-known state-of-the-art e-mail a.b@c.org"):
+        assert found(plain) == []
