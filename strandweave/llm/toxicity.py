@@ -4,7 +4,8 @@ Terms (whole words, and stems that start a word) are learned from document frequ
 labelled rows. Words of a text run through a deterministic automaton made lazily from the
 states (trie node, edits) of the Levenshtein automaton intersected with the lexicon trie, so
 one walk finds exact terms, stems and misspellings (which keep the first letter). A
-misspelling that is a word of clean training texts doesn't count. The window around a match tells quotation (quotation marks,
+misspelling doesn't count where its counts in toxic and clean training texts speak against a
+term's odds. The window around a match tells quotation (quotation marks,
 reporting words) from abuse (address in the second person). A logistic model turns the
 windows' sums into a score; its rows are extended by the same rows with every match
 misspelled (still toxic) and with every match quoted (not toxic).
@@ -19,6 +20,7 @@ Extra columns pass through.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -35,6 +37,8 @@ from .common import clash_free, id_bucket, materialize, small, tidied
 #: A term occurs in at least so many toxic texts, with at least this log odds ratio and G-test value
 #: (the latter holds the expected number of chance terms among a million candidates below 0.01).
 LEAST_TOXIC, LEAST_ODDS, LEAST_G = 4, 3.0, 37.0
+#: G-test value (a chance of 1 %) from which a misspelling's counts are innocent.
+INNOCENT_G = 6.63
 #: Terms considered and kept, by G-test value.
 CONSIDERED, LEXICON = 20_000, 2_000
 #: Stems have so many letters; terms of so many letters may be misspelled.
@@ -276,6 +280,14 @@ def _counter(of, schema: str = "term string, n long"):
     return lambda rows: rows.select("text").mapInArrow(count, schema).groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def innocent(toxic: int, clean: int):
+    """Whether a row's counts (of so many texts) are too clean for a word of the odds ``LEAST_ODDS``, by a G-test."""
+    share = toxic * math.exp(LEAST_ODDS) / (toxic * math.exp(LEAST_ODDS) + clean)  # toxic texts among those of such a word
+    both = F.col("toxic") + F.col("clean")
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    return (F.col("toxic") < both * share) & (2 * (part(F.col("toxic"), both * share) + part(F.col("clean"), both * (1 - share))) >= INNOCENT_G)
+
+
 class ToxicityModel:
     def __init__(self, lexicon: Lexicon, beta: np.ndarray):
         self.lexicon, self.beta = lexicon, beta
@@ -338,7 +350,10 @@ class ToxicityModel:
                 lexicon.append(Scorer(Lexicon(terms)))
             return lexicon[0].misspelled(text)
 
-        near = _counter(misspelled)(rows.where("toxic = 0")).orderBy(F.desc("n"), "term").limit(INNOCENT)
+        near = _counter(misspelled)(rows.where("toxic = 0")).withColumnRenamed("n", "clean")
+        caught = _counter(misspelled)(rows.where("toxic = 1")).withColumnRenamed("n", "toxic")
+        near = near.join(caught, "term", "left").withColumn("toxic", F.coalesce("toxic", F.lit(0))).where(innocent(toxic, clean))
+        near = near.orderBy(F.desc("clean"), "term").limit(INNOCENT)
         model = cls(Lexicon(terms, {r["term"] for r in near.collect()}), np.zeros(len(FEATURES) + 1))
         share = min(1.0, FIT_ROWS / (toxic + clean))
         picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)

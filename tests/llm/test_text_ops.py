@@ -168,6 +168,26 @@ def test_toxic_rows_are_learned(spark, odd_docs, no_docs):
     assert all(x["toxicity"] < 1e-6 for x in empty.score(odd_docs, score="toxicity").collect())
 
 
+def _abuse(clean_words, toxic_words=()):
+    """Texts of which every fifth is toxic, with extra words in the first clean and toxic ones."""
+    r, rows = random.Random(4), []
+    for d in range(600):
+        words = _words(r, 40).split()
+        for _ in range(3 if d % 5 == 0 else 0):
+            words.insert(r.randrange(len(words)), r.choice(["blighter", "rotterhead", "swinely"]))
+        extra = toxic_words if d % 5 == 0 else clean_words
+        rows.append((" ".join(words + [w for w, n in extra if d < n]), int(d % 5 == 0)))
+    return rows
+
+
+def test_one_clean_text_does_not_switch_off_a_misspelling(spark):
+    # one clean text and three toxic ones hold "bligter"; only clean ones hold "swinelx"
+    rows = _abuse([("bligter", 2), ("swinelx", 100)], [("bligter", 11)])
+    model = toxicity.ToxicityModel.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "bligter" not in model.lexicon.innocent and "swinelx" in model.lexicon.innocent
+    assert model.lexicon.match("bligter") is not None and model.lexicon.match("swinelx") is None
+
+
 # -- operator 6
 
 
