@@ -124,8 +124,11 @@ class Lexicon:
         return self.number[new]
 
     def match(self, word: str) -> tuple[int, bool] | None:
-        """(term, misspelled) of the best match of ``word``: exact, stem, then misspelled."""
-        state, stem, near = 0, -1, -1
+        """(term, misspelled) of the best match of ``word``: exact, stem, then misspelled.
+
+        Of several misspelled terms of the word's first letter the one of the greatest weight is taken.
+        """
+        state, stem, near = 0, -1, set()
         for c in word:
             to = self.moves[state].get(c)
             if to is None:
@@ -140,17 +143,18 @@ class Lexicon:
                 if k >= 0 and e == 0:
                     stem = k
                 elif k >= 0 and len(self.terms[k][0]) > FUZZY:
-                    near = k
+                    near.add(k)
         else:
             for node, e in self.states[state]:
                 k = self.whole[node]
                 if k >= 0 and e == 0:
                     return k, False
                 if k >= 0 and len(self.terms[k][0]) >= FUZZY:
-                    near = k
+                    near.add(k)
         if stem >= 0:
             return stem, False
-        return (near, True) if near >= 0 and word[0] == self.terms[near][0][0] and word not in self.innocent else None
+        near = [k for k in near if word[0] == self.terms[k][0][0]]
+        return (max(near, key=lambda k: (self.terms[k][2], -k)), True) if near and word not in self.innocent else None
 
 
 class Scorer:

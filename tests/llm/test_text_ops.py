@@ -1,6 +1,7 @@
 """Operators 1, 2, 6, 7 and 8 against brute force, planted cases and odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -131,6 +132,13 @@ def test_automaton_equals_edit_distance(terms, word):
             assert found
 
 
+def test_best_of_the_near_terms_is_kept():
+    for terms in itertools.permutations(["bbcde", "abcdx", "cbcde", "abcye"]):
+        weights = {"bbcde": 9.0, "abcdx": 2.0, "cbcde": 8.0, "abcye": 3.0}
+        got = toxicity.Lexicon([(t, True, weights[t]) for t in terms]).match("abcde")
+        assert got == (terms.index("abcye"), True)
+
+
 def decontaminate_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
