@@ -15,7 +15,8 @@ Labels, language, source and ids never enter a score.
 Defined results: null text counts as empty; an empty text gets the score of a text without
 matches. Several labels of one id count as toxic if one is; null labels are left out. Copies
 of a text count once in training. Without labelled rows of both kinds every score is 0.
-Extra columns pass through.
+Extra columns pass through. All terms and innocent spellings that qualify are held; beyond
+``LEXICON_BYTES`` and the other byte bounds fitting fails instead of leaving any out.
 """
 
 from __future__ import annotations
@@ -39,14 +40,12 @@ from .common import clash_free, id_bucket, materialize, small, tidied
 LEAST_TOXIC, LEAST_ODDS, LEAST_G = 4, 3.0, 37.0
 #: G-test value (a chance of 1 %) from which a misspelling's counts are innocent.
 INNOCENT_G = 6.63
-#: Terms considered and kept, by G-test value.
-CONSIDERED, LEXICON = 20_000, 2_000
+#: UTF-8 bytes of candidate terms, of the lexicon and of innocent spellings that may be held; more are refused.
+CANDIDATE_BYTES, LEXICON_BYTES, INNOCENT_BYTES = 32 << 20, 1 << 20, 16 << 20
 #: Stems have so many letters; terms of so many letters may be misspelled.
 STEM, FUZZY = (4, 8), 5
 #: Labelled rows that the logistic model is fitted on, at most (about; picked by a hash of the text).
 FIT_ROWS = 20_000
-#: Most innocent spellings kept.
-INNOCENT = 50_000
 #: Most (id, hash, label) rows that are broadcast, about 40 bytes each.
 BROADCAST_ROWS = 400_000
 #: Bits (as a power of two) of the map of toxic terms.
@@ -236,21 +235,31 @@ def augment(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def choose_terms(rows: list[tuple[str, bool, float, float]]) -> list[tuple[str, bool, float]]:
     """Terms by G value; along a trie path only the best one stays (of equals the longest)."""
-    taken, covered = [], set()
+    taken, kept, covered = [], set(), set()
     for term, whole, odds, _ in sorted(rows, key=lambda r: (-r[3], -len(r[0]), not r[1], r[0])):
         spelled = term + "$" * whole
         paths = {spelled[:k] for k in range(1, len(spelled) + 1)}
-        if spelled in covered or any(p in covered for p in paths & {t + "$" * w for t, w, _ in taken}):
-            continue
-        if any(p in paths for p in (t + "$" * w for t, w, _ in taken)):
+        if spelled in covered or not paths.isdisjoint(kept):
             continue
         taken.append((term, whole, round(min(odds, 8.0), 6)))
+        kept.add(spelled)
         covered |= paths
-        if len(taken) == LEXICON:
-            break
+    _refuse(sum(len(t.encode()) for t, _, _ in taken), LEXICON_BYTES, "lexicon terms")
     return taken
 
 
+def _refuse(size: int, most: int, what: str) -> None:
+    if size > most:
+        raise ValueError(f"{size} bytes of {what}; at most {most} can be held, and none are left out")
+
+
+def _held(df: DataFrame, most: int, name: str) -> list:
+    """All rows of ``df`` with the terms' bytes checked first."""
+    df = materialize(df, name)
+    _refuse(df.agg(F.sum(F.octet_length("term"))).first()[0] or 0, most, name)
+    return df.collect()
+
+
 def _terms_of(text: str) -> set[str]:
     """Words (with a closing sign) and stems of a text."""
     low, high = STEM
@@ -344,8 +353,8 @@ class ToxicityModel:
             + part(clean - F.col("clean"), (toxic + clean - both) * (1 - share))
         )
         ranked = counts.where(F.col("toxic") >= LEAST_TOXIC).select("term", "whole", odds.alias("odds"), g.alias("g"))
-        ranked = ranked.where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_G)).orderBy(F.desc("g"), "term", "whole").limit(CONSIDERED)
-        terms = choose_terms([tuple(r) for r in ranked.collect()])
+        ranked = ranked.where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_G))
+        terms = choose_terms([tuple(r) for r in _held(ranked, CANDIDATE_BYTES, "toxic-candidates")])
 
         lexicon: list[Scorer] = []
 
@@ -357,8 +366,7 @@ class ToxicityModel:
         near = _counter(misspelled)(rows.where("toxic = 0")).withColumnRenamed("n", "clean")
         caught = _counter(misspelled)(rows.where("toxic = 1")).withColumnRenamed("n", "toxic")
         near = near.join(caught, "term", "left").withColumn("toxic", F.coalesce("toxic", F.lit(0))).where(innocent(toxic, clean))
-        near = near.orderBy(F.desc("clean"), "term").limit(INNOCENT)
-        model = cls(Lexicon(terms, {r["term"] for r in near.collect()}), np.zeros(len(FEATURES) + 1))
+        model = cls(Lexicon(terms, {r["term"] for r in _held(near.select("term"), INNOCENT_BYTES, "toxic-innocent")}), np.zeros(len(FEATURES) + 1))
         share = min(1.0, FIT_ROWS / (toxic + clean))
         picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
         data = np.array([[*r["features"], r["toxic"]] for r in picked.select(model.features("text").alias("features"), "toxic").collect()])

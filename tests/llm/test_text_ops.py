@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -196,6 +197,15 @@ def test_one_clean_text_does_not_switch_off_a_misspelling(spark):
     assert model.lexicon.match("bligter") is not None and model.lexicon.match("swinelx") is None
 
 
+def test_no_term_is_left_out(monkeypatch):
+    rows = [(f"{k:05d}x", True, 5.0, 40.0) for k in range(5000)]
+    assert {t for t, _, _ in toxicity.choose_terms(rows)} == {t for t, *_ in rows}
+    assert toxicity.choose_terms([("abcd", False, 5.0, 50.0), ("abcdef", True, 5.0, 45.0), ("abc", True, 4.0, 44.0)]) == [("abcd", False, 5.0), ("abc", True, 4.0)]
+    monkeypatch.setattr(toxicity, "LEXICON_BYTES", 1000)
+    with pytest.raises(ValueError, match="lexicon terms"):
+        toxicity.choose_terms(rows)
+
+
 # -- operator 6
 
 
