@@ -275,7 +275,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     ``class_id`` is the smallest id of the documents connected by links, ``copy_id`` that of the
     documents with an equal shingle set, ``n_links`` the number of other documents of similarity
     ``threshold`` or more (copies among them), ``n_text_links`` of other shingle sets.
+    Bands and bounds are those of ``THRESHOLD``; a lower ``threshold`` is refused.
     """
+    if threshold < THRESHOLD:
+        raise ValueError(f"threshold {threshold} is below {THRESHOLD}, for which candidates are searched")
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     signed = materialize(docs.mapInArrow(_sign, SIGNED), "signed")
     grouped = materialize(signed.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")), "classes")

@@ -118,6 +118,11 @@ def test_posterior_bound():
     assert ngram_join.least_matches(32, 8, tolerance=0.5) > ngram_join.least_matches(32, 8)
 
 
+def test_lower_thresholds_are_refused(odd_docs):
+    with pytest.raises(ValueError, match="threshold"):
+        ngram_join.near_duplicates(odd_docs, threshold=0.7)
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(40) if i % 11] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(200, 200), (201, None)]
