@@ -6,13 +6,19 @@ Executors can be lost at any time, so anything that cuts a lineage is written be
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
+import struct
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +28,9 @@ RANGE_BYTES = 8 << 20
 #: Records that are further apart than this are not read in one range.
 GAP_BYTES = 64 << 10
 
+#: Folder, below the shared one, that new tables and files go to; see ``scope``.
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder URI below ``spark.checkpoint.dir``.
@@ -35,7 +44,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
     if "://" not in root and not root.startswith("file:"):
         root = "file://" + os.path.abspath(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/{_SCOPE.get()}{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is written to the shared folder inside the block lies in one folder, which goes at its end."""
+    folder = shared_dir(spark, name)
+    token = _SCOPE.set(_SCOPE.get() + folder.rpartition("/")[2] + "/")
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        remove(spark, folder)
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -43,7 +64,15 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or shared_dir(df.sparkSession, name)
     bounded_batches(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
+    out = df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``tables``, when later tables have replaced them."""
+    for df in tables:
+        remove(df.sparkSession, df._written)
 
 
 def nullable(schema: T.StructType) -> T.StructType:
@@ -135,6 +164,28 @@ def clash_free(df: DataFrame, stem: str) -> str:
     return name
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed byte planes."""
+    out = []
+    for a in arrays:
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else np.empty(0, np.uint8)
+        body = zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+        out.append(struct.pack("<cQQ", a.dtype.char.encode(), len(a), len(body)) + body)
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n, size = struct.unpack_from("<cQQ", data, at)
+        at += struct.calcsize("<cQQ")
+        dtype = np.dtype(kind.decode())
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=max(1, n * dtype.itemsize)), np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).reshape(n) if n else np.empty(0, dtype))
+        at += size
+    return out
+
+
 def ranges(rows: list[tuple[str, int, int]], gap: int = GAP_BYTES, most: int = RANGE_BYTES) -> list[tuple[str, int, int, list[int]]]:
     """Coalesced byte ranges (file, from, to, members) of (file, offset, length) rows, sorted by place."""
     out: list = []

@@ -19,19 +19,17 @@ the uniform one is 0. Words of any length are whole. Extra columns are not read.
 from __future__ import annotations
 
 import math
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_file, open_fs, release, shared_dir, tidied
+from .common import materialize, new_file, open_fs, pack, release, shared_dir, tidied, unpack
 from .ngram_join import _STEP, _Powers, mix
 
 #: Tokens of a block, and UTF-8 bytes of text for each slice of the hash space.
@@ -66,28 +64,6 @@ def tokens_of(text: str) -> np.ndarray:
     return out
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed byte planes."""
-    out = []
-    for a in arrays:
-        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else np.empty(0, np.uint8)
-        body = zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-        out.append(struct.pack("<cQQ", a.dtype.char.encode(), len(a), len(body)) + body)
-    return b"".join(out)
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        kind, n, size = struct.unpack_from("<cQQ", data, at)
-        at += struct.calcsize("<cQQ")
-        dtype = np.dtype(kind.decode())
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=max(1, n * dtype.itemsize)), np.uint8)
-        out.append(np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).reshape(n) if n else np.empty(0, dtype))
-        at += size
-    return out
-
-
 def rising(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 

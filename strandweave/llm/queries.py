@@ -122,7 +122,8 @@ SELECT query_id, rank, vec_id, distance FROM t WHERE rank <= 10
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "copy_id", "n_links", "n_text_links")
 
 
 QUERIES = {
