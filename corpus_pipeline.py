@@ -7,13 +7,12 @@ and read again as the next stage's docs. All but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.llm.bpe import ByteBpe
-from strandweave.llm.common import bounded_batches, clash_free, materialize, small, table
+from strandweave.llm.common import bounded_batches, clash_free, discard, materialize, scope, shared_dir, small, table
 from strandweave.llm.decontaminate import without_contaminated
-from strandweave.llm.ngram_join import BROADCAST_IDS, near_duplicates
+from strandweave.llm.ngram_join import BROADCAST_IDS, near_duplicates, text_hash_of
 from strandweave.llm.queries import tokenizer_path
 from strandweave.llm.secret_scan import redact
 from strandweave.llm.toxicity import THRESHOLD, ToxicityModel
@@ -27,21 +26,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each class of near duplicates the document of the smallest id stays.
+    """Operator 10: of each class of near duplicates the row of the smallest (id, hash of the text) stays.
 
-    Rows without an id stay. Rows that share an id are one document; the one of the smallest
-    text hash stays.
+    Rows without an id stay. Of rows that share id and text one stays; other texts of an id are
+    documents of their own.
     """
-    classes = materialize(near_duplicates(docs).select("doc_id", "class_id"), "classes")
-    goes = small(classes.where("doc_id <> class_id").select("doc_id").distinct(), BROADCAST_IDS)
-    kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialize(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    found = materialize(near_duplicates(docs).where("doc_id is not null").select("doc_id", "text_hash", "is_first"), "classes")
+    code = clash_free(docs, "text_hash")
+    pair = [F.col("doc_id").alias("doc_id"), F.col("text_hash").alias(code)]
+    goes = found.where("not is_first").select(*pair).distinct()
+    coded = docs.withColumn(code, text_hash_of(F.col("text")))
+    kept = coded.join(small(goes, BROADCAST_IDS), ["doc_id", code], "left_anti")
+    repeated = materialize(found.where("is_first").select(*pair).groupBy("doc_id", code).count().where("count > 1").select("doc_id", code), "repeated")
     if repeated.limit(1).count() == 0:
-        return kept
-    rank = clash_free(docs, "rank")
-    one = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    first = one.withColumn(rank, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(rank) == 1).drop(rank)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+        return kept.select(*docs.columns)
+    repeated = small(repeated, BROADCAST_IDS)
+    one = kept.join(repeated, ["doc_id", code], "left_semi").dropDuplicates(["doc_id", code])
+    return kept.join(repeated, ["doc_id", code], "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,8 +86,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage wrote on its way goes when its result is written, and that when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_dir(spark, f"stage-{name}")
+        with scope(spark, f"work-{name}"):
+            docs = materialize(stage(spark, docs, sf_dir), name, path)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
