@@ -2,7 +2,7 @@
 
 A vector's code has a bit for the sign of each dimension. Rows of equal codes are one entry with
 its k smallest ids, which is all that a top-k can ask of them. Entries are searched in blocks of
-bounded size against blocks of query codes. In a block, each of the code's segments has a table
+bounded size by blocks of query codes, which stream through. In a block, each of the code's segments has a table
 from segment values to entries. A query looks up values at a growing number of flipped bits,
 segment by segment, verifies what it finds, and stops when its kth distance is covered: after
 radius r in all segments and r + 1 in j of them, every code nearer than ``m * (r + 1) + j`` was
@@ -11,7 +11,7 @@ seen. Where the values to look up outnumber the block's entries, all of them are
 Results are exact, ties go to the smaller id. Defined results: a null vector has no code, so it
 is neither found nor answered; NaN counts as not positive; shorter vectors are padded with zero
 bits. Rows with equal ids are rows of their own; null ids are not found. A table of fewer than k
-rows gives all of them. Extra columns are not read.
+rows gives all of them. Vectors of any length are read whole. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 K = 10
-#: Entries and query codes of a block.
-ENTRIES, QUERIES = 1 << 18, 1024
+#: Entries and query codes of a block, at most about; entries of a block that is cut to give every core work.
+ENTRIES, QUERIES, LEAST = 1 << 18, 1 << 16, 2048
 
 
 def sign_codes(vectors: list[list[float] | None], dims: int) -> list[bytes | None]:
@@ -141,39 +141,68 @@ def _smallest_ids(k: int):
     return reduce
 
 
-def _search(k: int, dims: int):
-    """Per (query block, entry block) group: each query code's k nearest ids in the block."""
+def _first(k: int):
+    """The first k rows of every run of equal first columns, in rows that are sorted; adds the place in the run."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, codes, ids, queries = None, [], [], []
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place = None, 0
+        for batch in batches:
+            places, keep = [], []
+            for i, code in enumerate(batch.column(0).to_pylist()):
+                place = place + 1 if code == held else 1
+                held = code
+                if place <= k:
+                    keep.append(i)
+                    places.append(place)
+            picked = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(places, pa.int32())], names=[*batch.schema.names, "rank"])
 
-        def done() -> pa.RecordBatch:
-            out = []
-            if codes and queries:
-                block = Block(codes, np.array([len(x) for x in ids]), dims)
-                for q in queries:
-                    near = sorted((int(d), i) for e, d in zip(*block.search(q, k)) for i in ids[e])
-                    out += [(q, d, i) for d, i in near[:k]]
-            cols = list(zip(*out)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int64()))], names=["code", "distance", "id"])
+    return first
+
+
+def _search(k: int, dims: int):
+    """Per group: each query code's k nearest ids in the group's block; rows of entries come before queries.
 
+    Queries stream through the block, so a group holds nothing but its entries.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, codes, ids, counts, block, starts = None, [], [], [], None, None
         for batch in batches:
-            for q, e, asks, code, own in zip(*(c.to_pylist() for c in batch.columns)):
-                if (q, e) != group:
-                    if group:
-                        yield done()
-                    group, codes, ids, queries = (q, e), [], [], []
-                if asks:
-                    queries.append(code)
-                else:
+            out = []
+            for g, asks, code, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != group:
+                    group, codes, ids, counts, block = g, [], [], [], None
+                if not asks:
                     codes.append(code)
-                    ids.append(own)
-        if group:
-            yield done()
+                    ids.extend(own)
+                    counts.append(len(own))
+                    continue
+                if block is None:
+                    if not codes:
+                        continue
+                    block = Block(codes, np.array(counts), dims)
+                    ids, starts = np.array(ids, np.int64), np.cumsum([0, *counts])
+                entries, distances = block.search(code, k)
+                near = sorted((d, i) for e, d in zip(entries.tolist(), distances.tolist()) for i in ids[starts[e] : starts[e + 1]].tolist())
+                out += [(code, d, i) for d, i in near[:k]]
+            cols = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int64()))], names=["code", "distance", "id"])
 
     return search
 
 
+def blocks_of(entries: int, queries: int, tasks: int) -> tuple[int, int]:
+    """(entry blocks, query blocks): bounded ones, and so many groups that ``tasks`` have work.
+
+    A query code is a few bytes and an entry has its ids, so entries are cut further before queries are.
+    """
+    e, q = max(1, math.ceil(entries / ENTRIES)), max(1, math.ceil(queries / QUERIES))
+    if e * q < tasks:
+        e = max(e, min(math.ceil(tasks / q), math.ceil(entries / LEAST)))
+    return e, q
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, distance) of the k rows of ``vectors`` nearest to each row of ``queries``."""
     size = F.size(F.col(f"`{embedding}`"))
@@ -188,17 +217,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec
         rows = df.where(F.col(f"`{embedding}`").isNotNull()).select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("v"))
         return rows.select(code("v").alias("code"), "id")
 
+    spark = vectors.sparkSession
     smallest = coded(vectors).where("id is not null").mapInArrow(_smallest_ids(k), "code binary, id long")
-    entries = materialize(smallest.groupBy("code").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k).alias("ids")), "codes")
+    smallest = smallest.repartition("code").sortWithinPartitions("code", "id").mapInArrow(_first(k), "code binary, id long, rank int")
+    entries = materialize(smallest.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     asked = materialize(coded(queries), "query-codes")
     distinct = materialize(asked.select("code").distinct(), "query-classes")
-    eb, qb = max(1, math.ceil(entries.count() / ENTRIES)), max(1, math.ceil(distinct.count() / QUERIES))
+    eb, qb = blocks_of(entries.count(), distinct.count(), 3 * spark.sparkContext.defaultParallelism)
     block = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
-    left = entries.select(F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"), block(eb).alias("e"), F.lit(False).alias("asks"), "code", "ids")
-    right = distinct.select(block(qb).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(eb - 1))).alias("e"), F.lit(True).alias("asks"), "code", F.lit(None).cast("array<long>").alias("ids"))
-    dealt = left.unionByName(right).repartition("q", "e").sortWithinPartitions("q", "e")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = entries.select(every(qb).alias("q"), block(eb).alias("e"), F.lit(False).alias("asks"), "code", "ids")
+    right = distinct.select(block(qb).alias("q"), every(eb).alias("e"), F.lit(True).alias("asks"), "code", F.lit(None).cast("array<long>").alias("ids"))
+    group = (F.col("q") * eb + F.col("e")).cast("int").alias("g")
+    dealt = left.unionByName(right).select(group, "asks", "code", "ids").repartitionById(eb * qb, F.col("g")).sortWithinPartitions("g", "asks")
     found = dealt.mapInArrow(_search(k, dims), "code binary, distance int, id long")
-    best = found.groupBy("code").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("best"))
-    best = materialize(best, "nearest")
-    rows = asked.join(best, "code").select(F.col("id").alias("query_id"), F.posexplode("best").alias("pos", "hit"))
-    return rows.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), F.col("hit.distance").alias("distance"))
+    nearest = found.repartition("code").sortWithinPartitions("code", "distance", "id").mapInArrow(_first(k), "code binary, distance int, id long, rank int")
+    best = materialize(nearest, "nearest")
+    discard(entries, distinct)
+    return asked.join(best.withColumnRenamed("id", "vec_id"), "code").select(F.col("id").alias("query_id"), "rank", "vec_id", "distance")

@@ -63,11 +63,20 @@ def test_top_k_is_exact(spark, dims, n, k, monkeypatch):
     frame = lambda x: spark.createDataFrame([(*a, "c") for a in x], "vec_id long, embedding array<double>, code string")
     monkeypatch.setattr(hamming, "ENTRIES", 100)
     monkeypatch.setattr(hamming, "QUERIES", 5)
+    monkeypatch.setattr(hamming, "LEAST", 20)
     got = Counter(tuple(x) for x in hamming.top_k(frame(rows), frame(queries), k).collect())
     assert got == _plain_top_k(rows, queries, k)
     assert hamming.top_k(frame(rows).where("false"), frame(queries), k).count() == 0
 
 
+def test_blocks_give_every_core_work():
+    assert hamming.blocks_of(50_000, 2_500, 24) == (24, 1)
+    assert hamming.blocks_of(3_000, 100, 24) == (2, 1)
+    e, q = hamming.blocks_of(10**8, 5 * 10**6, 2000)
+    assert 10**8 / e <= hamming.ENTRIES and 5 * 10**6 / q <= hamming.QUERIES and q < 80
+    assert hamming.blocks_of(0, 0, 8) == (1, 1)
+
+
 # -- operator 10
 
 
@@ -106,13 +115,61 @@ def test_links_equal_all_pairs(spark, odd_docs, no_docs, monkeypatch):
                 words[r.randrange(len(words))] = f"n{r.randrange(50)}"
             rows.append((1000 + 100 * g + c, " ".join(words)))
     df = spark.createDataFrame([(*x, "k", "n") for x in rows], "doc_id long, text string, key string, label string").repartition(3)
-    monkeypatch.setattr(ngram_join, "BUCKET", 8)
+    monkeypatch.setattr(ngram_join, "CELL", 8)
+    monkeypatch.setattr(ngram_join, "GATHERED", 16)
+    monkeypatch.setattr(ngram_join, "PAIRS", 2)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     got = Counter((x["doc_id"], x["class_id"], x["n_links"], x["n_text_links"]) for x in ngram_join.near_duplicates(df).collect())
     assert got == _plain_links(rows)
     assert ngram_join.near_duplicates(no_docs).count() == 0
 
 
+def test_one_large_group(spark):
+    """600 near copies with the production constants, next to single documents."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(900)}" for _ in range(150)]
+    rows = [(5000 + k, " ".join(f"s{r.randrange(10**6)}" for _ in range(30))) for k in range(40)]
+    for c in range(600):
+        words = list(base)
+        for _ in range(r.randrange(5)):
+            words[r.randrange(len(words))] = f"n{r.randrange(10**6)}"
+        rows.append((c, " ".join(words)))
+    got = Counter((x["doc_id"], x["class_id"], x["n_links"], x["n_text_links"]) for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == _plain_links(rows)
+
+
+def test_forest_spans_what_may_reach_the_threshold():
+    r = np.random.default_rng(5)
+    group = r.integers(0, 9, 70)
+    centre = r.integers(0, 1 << 32, (9, 96), dtype=np.uint32)
+    values = np.where(r.random((70, 96)) < 0.15, r.integers(0, 1 << 32, (70, 96), dtype=np.uint32), centre[group])
+    words = np.frombuffer(b"".join(map(ngram_join.sketch_of, values)), np.uint64).reshape(-1, 4)
+    n = np.full(70, 100)
+    label = list(range(70))
+    for _ in range(3):
+        for x in range(70):
+            for y in ngram_join._may_reach(n, words, x, np.arange(70), 0.8).tolist():
+                label[x] = label[y] = min(label[x], label[y])
+    edges = ngram_join.forest(n, words)
+    assert len(edges) == 70 - len(set(label)) and all(label[a] == label[b] for a, b in edges)
+    assert len(set(group.tolist())) == len(set(label))
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from strandweave.llm import common
+
+    with common.scope(spark, "work"):
+        one = common.materialize(spark.range(3).toDF("a"), "one")
+        folder = Path(common.open_fs(one._written)[1])
+        two = common.materialize(one, "two")
+        common.discard(one)
+        assert not folder.exists() and two.count() == 3
+        assert "/work-" in str(folder)
+    assert not folder.parent.exists()
+
+
 def test_posterior_bound():
     assert ngram_join.least_matches(64, 8) < 0.8 * 64 and ngram_join.least_matches(64, 8) > 0.3 * 64
     assert ngram_join.least_matches(32, 8, tolerance=0.5) > ngram_join.least_matches(32, 8)
@@ -166,5 +223,8 @@ def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, data):
         for _, stage in cp.STAGES[:-1]:
             out = stage(spark, docs, data)
             assert out.columns == docs.columns and out.count() <= docs.count()
+    several = spark.createDataFrame([(1, "one two three"), (2, "one two three"), (2, "a text of its own"), (3, "x y"), (3, "x y"), (None, "x y")], "doc_id long, text string")
+    kept = cp.drop_near_duplicates(spark, several, data)
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in kept.collect()) == [(0, "x y"), (1, "one two three"), (2, "a text of its own"), (3, "x y")]
     kept = cp.drop_near_duplicates(spark, odd_docs, data)
     assert sorted(x["doc_id"] for x in kept.where("doc_id is not null").collect()) == [1, 4, 6, 7, 8, 9, 10, 11, 13]
