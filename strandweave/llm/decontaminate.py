@@ -4,34 +4,43 @@ Texts and items are compared as words of lower-case letters and digits joined by
 blanks. A stretch of ``WINDOW`` characters (or a whole shorter item) with at most ``ERROR`` edits
 per character keeps at least ``window - q + 1 - q * edits`` of its q-grams, all near one
 diagonal. So shared q-grams are counted in diagonal bands that overlap by half, over sliding
-windows; windows that reach the count become regions. A banded alignment of the item finds the
-longest stretch; a region outside it is verified window by window, by edit distance.
+windows; windows that reach the count become regions. A banded alignment around each region finds
+its longest stretch; a region outside it is verified window by window, by edit distance.
 
 Benchmark items go through in blocks of a bounded size, each against all documents; no join
 and no shuffle takes place.
 
 Defined results: null and empty texts and items match nothing; an item that is shorter than
 twice q is found where it stands exactly, between word ends; repeated items and rows each
-give their rows; a null id is kept. Texts of any length are read whole. Extra columns of the
-documents are not read. Empty tables give empty results.
+give their rows; a null id is kept. Texts and items of any length are read whole, in time
+proportional to them. Of stretches of one item that overlap, the one with the most characters
+after its edits stays, of equal ones the first in the text; different items may share a stretch.
+Extra columns of the documents are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied
+from .common import sized_broadcast, tidied
 
 Q, WINDOW, ERROR = 12, 80, 0.05
+#: Diagonals that regions joined into one may span.
+SPAN = 64
 #: Characters of benchmark items that are compared at a time.
 BLOCK_CHARS = 4 << 20
+#: Bytes of such a block that are broadcast, at most.
+BLOCK_BYTES = 64 << 20
 #: Shared q-grams that are looked at together; a text with more is taken in overlapping halves.
 HITS = 1 << 21
 BLOOM_BITS = 22
@@ -168,42 +177,58 @@ def regions(items: Items, points: np.ndarray) -> list[tuple[int, int, int, int,
     return out
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int] | None:
-    """Best banded local alignment: (item from, to, text from, to, edits).
+def _banded(item: np.ndarray, text: np.ndarray, first: int, low: int, high: int, match: int, edit: int, local: bool):
+    """Rows of a banded alignment of ``item``, whose first character stands at ``first``: (row, score, item start, text start, edits).
+
+    The rows' cells are the diagonals (text place - item place) from ``low`` to ``high``; each row is a
+    few array operations. A cell prefers the diagonal, then leaving an item character out, then text
+    characters. A local alignment starts anew where its score is not above zero and takes no cell
+    outside the text; else every diagonal starts once, and places outside the text match nothing.
+    """
+    width = high - low + 1
+    k = np.arange(width)
+    steps = edit * k
+    from_ = first + low
+    place = np.arange(from_, from_ + len(item) + width)
+    within = (place >= 0) & (place < len(text))
+    values = np.where(within, text[np.clip(place, 0, max(0, len(text) - 1))].astype(np.int64), -1) if len(text) else np.full(len(place), -1)
+    score, edits = np.zeros(width, np.int64), np.zeros(width, np.int64)
+    a, b = np.full(width, first), from_ + k
+    for j, c in enumerate(item.tolist(), first):
+        at = j - first
+        if local:
+            new = score <= 0
+            a, b, edits, score = np.where(new, j, a), np.where(new, j + low + k, b), np.where(new, 0, edits), np.where(new, 0, score)
+        same = values[at : at + width] == c
+        best, e = score + np.where(same, match, -edit), edits + ~same
+        source = k.copy()
+        up = score[1:] - edit  # item character left out
+        better = up > best[:-1]
+        best[:-1][better] = up[better]
+        e[:-1][better] = edits[1:][better] + 1
+        source[:-1][better] += 1
+        total = np.maximum.accumulate(best + steps) - steps  # text characters left out
+        origin = np.maximum.accumulate(np.where(best == total, k, 0))
+        edits = e[origin] + k - origin
+        source = source[origin]
+        a, b, score = a[source], b[source], total
+        if local:
+            score = np.where(within[at : at + width], score, 0)
+        yield j, score, a, b, edits
+
+
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, first: int = 0) -> tuple[int, int, int, int, int] | None:
+    """Best banded local alignment of ``item``, whose first character stands at ``first``: (item from, to, text from, to, edits).
 
     A match scores 1 and an edit costs 1 / (2 * ERROR), so a stretch may outgrow the error rate;
     the caller checks it. Diagonals (text place - item place) run from ``low`` to ``high``.
     """
-    cost = int(1 / (2 * ERROR))
-    width = high - low + 1
-    cells: list = [(0, 0, 0, 0)] * width  # score, item start, text start, edits
-    best = (0, 0, 0, 0, 0, 0)
-    values = text.tolist()
-    for j, c in enumerate(item.tolist()):
-        new = []
-        for k in range(width):
-            i = j + low + k
-            if not 0 <= i < len(values):
-                new.append((0, j + 1, max(0, i + 1), 0))
-                continue
-            s, a, b, e = cells[k]  # diagonal
-            if s <= 0:
-                s, a, b, e = 0, j, i, 0
-            cell = (s + 1, a, b, e) if values[i] == c else (s - cost, a, b, e + 1)
-            if k + 1 < width and cells[k + 1][0] - cost > cell[0]:  # item character left out
-                s, a, b, e = cells[k + 1]
-                cell = (s - cost, a, b, e + 1)
-            if k and new[k - 1][0] - cost > cell[0]:  # text character left out
-                s, a, b, e = new[k - 1]
-                cell = (s - cost, a, b, e + 1)
-            if cell[0] <= 0:
-                cell = (0, j + 1, i + 1, 0)
-            elif cell[0] > best[0]:
-                best = (*cell, j + 1, i + 1)
-            new.append(cell)
-        cells = new
-    score, a, b, e, j, i = best
-    return (a, j, b, i, e) if score else None
+    best, found = 0, None
+    for j, score, a, b, edits in _banded(item, text, first, low, high, 1, int(1 / (2 * ERROR)), True):
+        k = int(score.argmax())
+        if score[k] > best:
+            best, found = int(score[k]), (int(a[k]), j + 1, int(b[k]), j + low + k + 1, int(edits[k]))
+    return found
 
 
 def good_windows(item: np.ndarray, points: np.ndarray, lo: int, hi: int, low: int, high: int) -> np.ndarray:
@@ -233,22 +258,10 @@ def good_windows(item: np.ndarray, points: np.ndarray, lo: int, hi: int, low: in
 
 def placed(item: np.ndarray, points: np.ndarray, start: int, low: int, high: int) -> tuple[int, int, int]:
     """(text from, text to, edits) of the stretch nearest to the whole of ``item``, which starts at ``start`` of its item."""
-    values, width = points.tolist(), high - low + 1
-    cells = [(0, start + low + k) for k in range(width)]  # edits, text start
-    for j, c in enumerate(item.tolist(), start):
-        new: list = []
-        for k in range(width):
-            i = j + low + k
-            e, b = cells[k]
-            cell = (e + (not (0 <= i < len(values) and values[i] == c)), b)
-            if k + 1 < width and cells[k + 1][0] + 1 < cell[0]:
-                cell = (cells[k + 1][0] + 1, cells[k + 1][1])
-            if k and new[k - 1][0] + 1 < cell[0]:
-                cell = (new[k - 1][0] + 1, new[k - 1][1])
-            new.append(cell)
-        cells = new
-    e, k = min((cell[0], k) for k, cell in enumerate(cells))
-    return max(0, cells[k][1]), min(len(values), start + len(item) + low + k), e
+    for _, score, _, b, _ in _banded(item, points, start, low, high, 0, 1, False):
+        pass
+    k = int(score.argmax())
+    return max(0, int(b[k])), min(len(points), start + len(item) + low + k), -int(score[k])
 
 
 def windows_of(item: np.ndarray, points: np.ndarray, lo: int, hi: int, low: int, high: int) -> list[tuple[int, int, int, int, int]]:
@@ -274,22 +287,41 @@ def windows_of(item: np.ndarray, points: np.ndarray, lo: int, hi: int, low: int,
     return out
 
 
+def joined_regions(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Regions of an item that follow or overlap each other in the text, as one, while its diagonals span at most ``SPAN``."""
+    out: list[tuple[int, int, int, int, int]] = []
+    open_: list[tuple[int, int, int, int, int]] = []
+    for k, lo, hi, d0, d1 in sorted(found):
+        open_ = [r for r in open_ if r[0] == k and lo <= r[2] + WINDOW]
+        r = next((r for r in open_ if max(d1, r[4]) - min(d0, r[3]) <= SPAN), None)
+        if r is not None:
+            open_.remove(r)
+            out.remove(r)
+            lo, hi, d0, d1 = r[1], max(hi, r[2]), min(d0, r[3]), max(d1, r[4])
+        open_.append((k, lo, hi, d0, d1))
+        out.append(open_[-1])
+    return out
+
+
 def verified(items: Items, points: np.ndarray) -> list[tuple]:
     """(item number, text from, text to, item from, item to, edits) of verified stretches, the longest of overlapping ones.
 
-    The item is aligned as a whole, for the longest stretch; where that does not hold a region that
-    was kept, the region's own windows are compared.
+    The item's part around a region is aligned in the region's band, for the longest stretch; where
+    that does not hold the whole region, the region's own windows are compared. Bands have a bounded
+    width, so the work is in proportion to the regions' lengths.
     """
     found = []
-    for k, lo, hi, d0, d1 in regions(items, points):
+    for k, lo, hi, d0, d1 in joined_regions(regions(items, points)):
         item = items.points[k]
         window, edits, _ = bound(len(item))
-        slack = math.ceil(ERROR * len(item)) + 1
         if d0 == d1 and 0 <= d0 and d0 + len(item) <= len(points) and np.array_equal(points[d0 : d0 + len(item)], item):
             found.append((k, d0, d0 + len(item), 0, len(item), 0))  # the whole item as it is
             continue
-        base = max(0, d0 - slack)
-        got = align(item, points[base : d1 + len(item) + slack], d0 - slack - base, d1 + slack - base)
+        first = max(0, lo - d1 - edits - window)
+        part = item[first : max(first, hi - d0 + edits + window)]
+        base = max(0, first + d0 - edits)
+        text = points[base : first + len(part) + d1 + edits + 1]
+        got = align(part, text, d0 - edits - base, d1 + edits - base, first)
         if got is not None:
             a, b, i, j, e = got
             if b - a >= window - edits and e <= ERROR * max(b - a, window):
@@ -329,43 +361,58 @@ def find_regions(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     out = None
-    for block in _blocks(benchmark, item_id, item_text):
-        part = rows.mapInArrow(_finder(block), REGIONS)
+    for name, block in _blocks(benchmark, item_id, item_text):
+        part = rows.mapInArrow(_finder(name, block), REGIONS)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple]]:
-    """Items with text in blocks of about ``BLOCK_CHARS`` characters; one empty block of an empty benchmark."""
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[tuple[str, Broadcast]]:
+    """Items with text in broadcast blocks of about ``BLOCK_CHARS`` characters, each with a name; one empty block of an empty benchmark."""
     bench = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).where("length(text) > 0")
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_CHARS))
     for b in range(blocks):
-        yield [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+        rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+        yield uuid.uuid4().hex, sized_broadcast(benchmark.sparkSession, pickle.dumps(rows), BLOCK_BYTES)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text has no verified region; items below twice q don't count here."""
-    for block in _blocks(benchmark, item_id, item_text):
-        docs = docs.where(_clean(block)(F.col(f"`{text}`")))
-    return docs
+#: The block that a worker looked at last, with its index.
+_INDEX: dict[str, Items] = {}
+
+
+def _indexed(name: str, block: Broadcast) -> Items:
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = Items(pickle.loads(block.value))
+    return _INDEX[name]
+
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", short_items: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose text has no verified region.
+
+    Items below twice q hold a word or two, so they don't count here unless ``short_items`` asks for it.
+    """
+    for name, block in _blocks(benchmark, item_id, item_text):
+        docs = docs.where(_clean(name, block, short_items)(F.col(f"`{text}`")))
+    return docs
 
-def _clean(block: list[tuple]):
-    held: list[Items] = []
 
+def _clean(name: str, block: Broadcast, short_items: bool):
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Items(block))
-        return tidied(pa.array([not verified(held[0], normalize(t.as_py() or "")[0]) for t in texts], pa.bool_()))
+        items, out = _indexed(name, block), []
+        for t in texts:
+            points, _ = normalize(t.as_py() or "")
+            out.append(not verified(items, points) and not (short_items and _short(items, points)))
+        return tidied(pa.array(out, pa.bool_()))
 
     return clean
 
 
-def _finder(block: list[tuple]):
+def _finder(name: str, block: Broadcast):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(block)
+        items = _indexed(name, block)
         for batch in batches:
             out = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -116,6 +117,45 @@ def test_good_windows_equal_plain_distances(monkeypatch):
         assert got == {a for a, e in least.items() if e <= 2}
 
 
+def test_windows_within_the_budget_are_found(monkeypatch):
+    """Brute force: every window of an item against every stretch of a text."""
+    monkeypatch.setattr(decontaminate, "WINDOW", 40)
+    window, edits, least = decontaminate.bound(70)
+    assert (window, edits, least) == (40, 2, 5)
+    r, seen = random.Random(4), Counter()
+    letters = lambda n: "".join(r.choice("bcdfgklm") for _ in range(n))
+    for case in range(120):
+        item = letters(r.randrange(40, 80))
+        a = r.randrange(len(item) - 35)
+        piece = list(item[a : a + r.randrange(35, 60)])
+        for _ in range(r.randrange(7)):
+            at = r.randrange(len(piece))
+            piece[at : at + r.randrange(2)] = r.choice(["", "a", "z"])
+        text = letters(30) + "".join(piece) + letters(30)
+        fewest = 99
+        for s in range(len(item) - 39):
+            row = [0] * (len(text) + 1)  # a stretch may start anywhere
+            for c in item[s : s + 40]:
+                new = [row[0] + 1]
+                for j, x in enumerate(text):
+                    new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != c)))
+                row = new
+            fewest = min(fewest, *row)
+        found = _found(item, text)
+        seen[fewest <= edits, bool(found)] += 1
+        assert fewest > edits or found
+        assert fewest <= 2 * edits + 2 or not found
+    assert seen[True, True] > 20 and seen[False, False] > 20
+
+
+def test_a_long_item_takes_time_in_proportion():
+    r = random.Random(6)
+    item = "".join(r.choice("bcdfgklmnprstv") for _ in range(100_000))
+    start = time.monotonic()
+    got = _found(item, "x" * 500 + item[:60_000] + "q" + item[60_000:] + "x" * 500)
+    assert [x[3:] for x in got] == [(0, 100_000, 1)] and time.monotonic() - start < 20
+
+
 # -- operator 2
 
 
