@@ -8,12 +8,14 @@ file; the index has a row for each record (file, offset, length), so a reader ca
 records in any order with range reads.
 
 Defined results: a null or empty text gives the end id alone; a null key sorts first and
-reads back as null; rows with equal keys are kept, ordered by text; an empty table gives an
-index without rows. Extra columns are not written.
+reads back as null; rows with equal keys are kept, ordered by text (equal ones in any order);
+texts of any length are encoded whole, into one record; an empty table gives an index without
+rows. Extra columns are not written.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -33,7 +35,7 @@ from .common import Memory, bounded_batches, new_file, open_fs, ranges, shared_d
 
 VOCABULARY_BYTES = 64 << 20
 #: Words remembered by a worker (results don't depend on it).
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 INDEX_SCHEMA = "part int, seq long, key long, file string, offset long, length long, n_tokens long, local_start long"
 
@@ -68,13 +70,30 @@ def deserialize(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (key if present else None), np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
 
 
+# The normalisation and word rule of the tokenizer files that ``WordCodec`` takes word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_RULE = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(file: dict) -> bool:
+    """Whether a tokenizer file has the rules above, and no added token without ``<|``."""
+    plain = all(file.get(k) is None for k in ("truncation", "padding")) and file["model"].get("type") == "BPE" and not file["model"].get("dropout")
+    return plain and file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == WORD_RULE and all("<|" in t["content"] for t in file["added_tokens"])
+
+
 class WordCodec:
     """The tokenizers library behind a memory of words.
 
     In a text of ASCII, Latin letters up to U+017F and plain white space, normalisation is
     lower case and words never touch each other, so each word is encoded by the library once
-    and remembered. Any other text, and any text that may hold a special token, goes to the
-    library whole.
+    and remembered. Any other text, any text that may hold a special token, and every text where
+    the file has other rules, goes to the library whole.
     """
 
     plain = re.compile("[\t-\r\x20-\x7e\xa0-\u012f\u0131-\u017f]*").fullmatch
@@ -86,6 +105,9 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(blob)
+        self.by_words = by_words(json.loads(blob))
+        if self.by_words:
+            self.library.model._resize_cache(0)  # words are remembered here
         self.width = 2 if self.library.get_vocab_size() <= 65536 else 4
         self.memory = Memory(self._word, REMEMBERED)
         self.spell = dict(enumerate(byte_alphabet()))
@@ -99,7 +121,7 @@ class WordCodec:
 
     def encode(self, text: str) -> bytes:
         """Ids, little-endian, ``width`` bytes each."""
-        if "<|" in text or not self.plain(text):
+        if not self.by_words or "<|" in text or not self.plain(text):
             return self._pack(self.library.encode(text, add_special_tokens=False).ids)
         memory = self.memory
         ids = b"".join([memory[w] for w in self.words(text.lower())])

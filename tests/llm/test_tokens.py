@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import struct
 import zlib
 
@@ -75,6 +76,20 @@ def test_records_read_back(spark, odd_docs, no_docs):
     assert records.read_records(index, path).count() == 0
 
 
+def test_other_tokenizer_files_go_to_the_library():
+    with open(P.path("byte_bpe_50k.json"), "rb") as f:
+        blob = f.read()
+    codec, library = records.WordCodec(blob), Tokenizer.from_buffer(blob)
+    assert WORD_CODEC.by_words and not codec.by_words
+    for text in ("Don't Shout, 12 times", " two  blanks", "é<|endoftext|>"):
+        assert codec.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    changed = json.loads(open(WORDS).read())
+    changed["normalizer"] = None
+    codec = records.WordCodec(json.dumps(changed).encode())
+    library = Tokenizer.from_str(json.dumps(changed))
+    assert codec.encode("Ab CD") == np.array(library.encode("Ab CD", add_special_tokens=False).ids, "<u2").tobytes() != WORD_CODEC.encode("Ab CD")
+
+
 def test_damage_is_seen():
     record = records.frame(records.serialize(5, np.array([1, 70000], "<u4").tobytes(), 4))
     key, ids = records.deserialize(records.unframe(record))
