@@ -63,8 +63,12 @@ def distance_and_matches(queries: pa.Array, targets: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([d for d, _ in found], pa.int32()), pa.array([m for _, m in found], pa.int32())], names=["distance", "matches"])
 
 
+def unstarred(seq: str) -> str:
+    return seq.removesuffix("*")
+
+
 def identity(query, target):
-    """Matches in percent of the alignment's columns; one trailing ``*`` of a side is left out, 0 where one is empty."""
+    """Matches in percent of the alignment's columns; one trailing ``*`` of a side is left out (``unstarred``), 0 where one is empty."""
     strip = lambda c: F.regexp_replace(c, r"\*$", "")
     return identity_of(distance_and_matches(strip(query), strip(target)))
 

@@ -10,18 +10,17 @@ def chunk_reads(reads: DataFrame, part_size: int = 5000, overlap: int = 500) ->
     """(read_ordinal, read_name, seq) -> one row per chunk, with its place in the read.
 
     Offsets are multiples of ``part_size``; a chunk is kept if ``overlap`` characters are left or the
-    read is shorter than that. Cutting works on bytes, so a long read costs its length once a chunk.
+    read is shorter than that. Cutting works on bytes and inside one expression, so no row holds a whole
+    read beside a chunk, and a long read costs its length (and its overlaps).
     """
-    size = F.length("seq")
-    cut = reads.where(size > 0).select(
-        "read_ordinal", "read_name", F.col("seq").cast("binary").alias("seq"), size.alias("read_length"),
-        F.posexplode(F.sequence(F.lit(0), size - 1, F.lit(part_size))).alias("chunk_idx", "chunk_offset"),
-    )
-    kept = cut.where((F.col("read_length") - F.col("chunk_offset") >= overlap) | (F.col("read_length") < overlap))
-    return kept.select(
-        "read_ordinal", "read_name", "chunk_idx", "chunk_offset",
-        F.substring(F.col("seq"), F.col("chunk_offset") + 1, F.lit(part_size + overlap)).cast("string").alias("chunk_seq"),
-    )
+    size, whole = F.length("seq"), F.col("seq").cast("binary")
+    offsets = F.filter(F.sequence(F.lit(0), size - 1, F.lit(part_size)), lambda o: (size - o >= overlap) | (size < overlap))
+    cut = F.transform(
+        offsets,
+        lambda o, k: F.struct(k.alias("idx"), o.alias("offset"), F.substring(whole, o + 1, F.lit(part_size + overlap)).cast("string").alias("seq")),
+    )
+    rows = reads.where(size > 0).select("read_ordinal", "read_name", F.explode(cut).alias("chunk"))
+    return rows.select("read_ordinal", "read_name", *[F.col(f"chunk.{c}").alias(f"chunk_{c}") for c in ("idx", "offset", "seq")])
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:

@@ -34,13 +34,14 @@ def both_strands(monomers: DataFrame) -> DataFrame:
     )
 
 
-def collect_checked(strands: DataFrame, most: int) -> list:
-    """Rows in ``dp_ordinal`` order; raises where there are none, more than ``most``, or an empty sequence."""
-    rows = sorted(strands.limit(most + 1).collect(), key=lambda r: r["dp_ordinal"])
-    if not rows:
+def collect_checked(strands: DataFrame, most: int, most_bytes: int = 64 << 20) -> list:
+    """Rows in ``dp_ordinal`` order; raises where there are none, more than ``most`` rows or bytes, or an empty sequence."""
+    size = strands.agg(F.count("*"), F.sum(F.octet_length("seq"))).first()
+    if not size[0]:
         raise ValueError("there are no monomers")
-    if len(rows) > most:
-        raise ValueError(f"more than {most} monomers; raise max_monomers if the executors have room")
+    if size[0] > most or size[1] > most_bytes:
+        raise ValueError(f"more than {most} monomers or {most_bytes} bytes of them; raise max_monomers if the executors have room")
+    rows = sorted(strands.collect(), key=lambda r: r["dp_ordinal"])
     if any(not r["seq"] for r in rows):
         raise ValueError("a monomer is empty")
     return rows

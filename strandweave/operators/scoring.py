@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequences import homopolymer_compress
-from .align import identity
-
-KEY = ("read_ordinal", "block_idx")
+from .align import identity, remembered_pairs, unstarred
 
 
 def last_of_name(strands: DataFrame) -> DataFrame:
@@ -41,53 +43,75 @@ _EXTRA = {
 }
 
 
-def all_scores(blocks: DataFrame, strands: DataFrame) -> DataFrame:
-    """Every block against every monomer, one row a pair: identity and homopolymer identity.
-
-    The monomers are a checked, small side; the pairs stream through one Arrow evaluation. A name that
-    occurs twice has its first one's place, and only its last one's score counts (``stands``).
-    """
-    named = W.partitionBy("name")
-    side = strands.select(
-        "rank_ordinal", F.col("name").alias("candidate"), F.col("seq").alias("candidate_seq"), "homo_seq",
-        F.min("rank_ordinal").over(named).alias("place"), (F.col("rank_ordinal") == F.max("rank_ordinal").over(named)).alias("stands"),
-    )
-    pairs = blocks.withColumn("homo_segment", homopolymer_compress(F.col("segment"))).join(F.broadcast(side))
-    return pairs.select(
-        *blocks.columns, "rank_ordinal", "candidate", "place", "stands",
-        identity(F.col("segment"), F.col("candidate_seq")).alias("candidate_identity"),
-        identity(F.col("homo_segment"), F.col("homo_seq")).alias("homo_identity"),
-    )
-
-
-def score_full(blocks: DataFrame, strands: DataFrame) -> DataFrame:
+ALT = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("identity", T.DoubleType())]))
+
+
+class Candidates:
+    """The monomers, a checked list, as both strands of every name."""
+
+    def __init__(self, strands: list):
+        rows = sorted(strands, key=lambda s: s["rank_ordinal"])
+        self.names, self.seqs, self.homo = ([s[c] for s in rows] for c in ("name", "seq", "homo_seq"))
+        first, last = {}, {}
+        for k, name in enumerate(self.names):
+            first.setdefault(name, k)
+            last[name] = k
+        #: A name that occurs twice has its first one's place, and only its last one's score counts.
+        self.standing = sorted(last, key=first.__getitem__)
+        self.rows = np.array([last[n] for n in self.standing])
+        self.place = {n: k for k, n in enumerate(self.standing)}
+
+    def scores(self, segments: list[str], candidates: list[str]) -> np.ndarray:
+        """Identities of every segment with every candidate."""
+        distinct = {s: k for k, s in enumerate(dict.fromkeys(segments))}
+        found = np.array(remembered_pairs([(unstarred(s), unstarred(c)) for s in distinct for c in candidates]), np.int64).reshape(len(distinct), len(candidates), 2)
+        d, m = found[..., 0], found[..., 1]
+        return np.where(d < 0, 0.0, m / np.maximum(m + d, 1) * 100)[[distinct[s] for s in segments]]
+
+    def columns(self, monomers: list[str], segments: list[str], homo_segments: list[str]) -> list[pa.Array]:
+        """The columns of ``_EXTRA``, ``identity`` and ``alt``. Of equal scores the first in rank order comes first."""
+        at = np.arange(len(monomers))
+        known = self.scores(segments, self.seqs)[:, self.rows]
+        own = np.array([self.place[m] for m in monomers])
+        others = known.copy()
+        others[at, own] = -1.0
+        second = others.argmax(axis=1)
+        some = others[at, second] >= 0
+        homo = self.scores(homo_segments, self.homo)
+        best = np.argsort(-homo, axis=1, kind="stable")[:, :2]
+        name = lambda of, k, there: pa.array([of[i] if t else None for i, t in zip(k, there)], pa.string())
+        every, two = np.ones(len(at), bool), np.full(len(at), best.shape[1] > 1)
+        last = best[:, -1]
+        alt = pa.StructArray.from_arrays([pa.array(self.standing * len(at), pa.string()), pa.array(known.ravel(), pa.float64())], names=["name", "identity"])
+        return [
+            name(self.standing, second, some), pa.array(others[at, second], pa.float64(), mask=~some),
+            name(self.names, best[:, 0], every), pa.array(homo[at, best[:, 0]], pa.float64()),
+            name(self.names, last, two), pa.array(homo[at, last], pa.float64(), mask=~two),
+            pa.array(known[at, own], pa.float64()),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(self.standing), pa.int32()), alt),
+        ]
+
+
+def score_full(blocks: DataFrame, strands: list) -> DataFrame:
     """Blocks with second best, best two by homopolymer identity, and ``alt``: all names' identities.
 
-    Aggregation is on the block's key, right after the pairs are made, so it combines on the map side.
-    Of equal scores the first in rank order comes first.
+    Every task has the monomers, a list whose length and size the caller has checked, so a block is
+    scored where it is and no pair becomes a row.
     """
-    entry = F.struct("place", "rank_ordinal", "stands", F.col("candidate").alias("name"), F.col("candidate_identity").alias("identity"), "homo_identity")
-    carried = [c for c in blocks.columns if c not in KEY]
-    grouped = all_scores(blocks, strands).groupBy(*KEY).agg(*[F.first(c).alias(c) for c in carried], F.array_sort(F.collect_list(entry)).alias("all"))
-    alt = F.transform(F.filter("all", lambda x: x["stands"]), lambda x: F.struct(x["name"].alias("name"), x["identity"].alias("identity")))
-    ranked = F.array_sort(F.transform(F.filter("all", lambda x: x["stands"] & (x["name"] != F.col("monomer"))), lambda x: F.struct((-x["identity"]).alias("i"), x["place"].alias("at"), x["name"].alias("name"))))
-    homo = F.array_sort(F.transform("all", lambda x: F.struct((-x["homo_identity"]).alias("i"), x["rank_ordinal"].alias("at"), x["name"].alias("name"))))
-    own = F.filter("all", lambda x: x["stands"] & (x["name"] == F.col("monomer")))
-    return (
-        grouped.withColumns({"alt": alt, "ranked": ranked, "homo": homo, "own": own})
-        .withColumns(
-            {
-                "identity": F.get("own", F.lit(0))["identity"],
-                "second_best": F.get("ranked", F.lit(0))["name"],
-                "second_best_identity": -F.get("ranked", F.lit(0))["i"],
-                "homo_best": F.get("homo", F.lit(0))["name"],
-                "homo_best_identity": -F.get("homo", F.lit(0))["i"],
-                "homo_second_best": F.get("homo", F.lit(1))["name"],
-                "homo_second_best_identity": -F.get("homo", F.lit(1))["i"],
-            }
-        )
-        .drop("all", "ranked", "homo", "own")
-    )
+    added = [*[T.StructField(c, T.StringType() if t == "string" else T.DoubleType()) for c, t in _EXTRA.items()], T.StructField("identity", T.DoubleType()), T.StructField("alt", ALT)]
+    schema = T.StructType([*blocks.schema.fields, *added])
+    names = schema.names
+    rows, kept = [r.asDict() for r in strands], blocks.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        candidates = Candidates(rows)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                columns = candidates.columns(*(part.column(c).to_pylist() for c in ("monomer", "segment", "homo_segment")))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *columns], names=names)
+
+    return blocks.withColumn("homo_segment", homopolymer_compress(F.col("segment"))).mapInArrow(run, schema)
 
 
 def alt_table(final: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +20,17 @@ class Decomposition:
     raw: DataFrame
     final: DataFrame
     alt: DataFrame
+    #: Blocks with their segments, which the tables are made of.
+    blocks: DataFrame
 
 
-def decompose(reads: DataFrame, monomers: DataFrame, options: Options = Options(), check_names: bool = True) -> Decomposition:
+def decompose(reads: DataFrame, monomers: DataFrame, options: Options = Options(), check_names: bool = True, keep: bool = False) -> Decomposition:
     """Tables of (read_ordinal, read_name, seq) against (ordinal, name, seq).
 
     ``raw``: kept blocks with score, gap and span. ``final``: identity, the second-best columns and
     reliability, blocks below ``min_identity`` left out. ``alt``: every monomer's identity (only with
     ``second_best``). A read without symbols has no rows; other symbols and repeated names fail.
+    ``keep`` persists the scored blocks, so that writing several of the tables segments and scores once.
     """
     if check_names and not reads.isStreaming:
         twice = require_unique_names(reads).limit(1).collect()
@@ -34,11 +38,13 @@ def decompose(reads: DataFrame, monomers: DataFrame, options: Options = Options(
             raise ValueError(f"read name {twice[0]['read_name']!r} occurs more than once")
     strands = both_strands(require_valid(monomers, "monomers"))
     order = collect_checked(strands, options.max_monomers)
-    small = reads.sparkSession.createDataFrame([tuple(r) for r in order], strands.schema)
     chunks = chunk_reads(require_valid(reads, "reads"), options.part_size, options.overlap)
-    raw = with_gap_and_span(drop_overlaps(segment_chunks(chunks, order, options.scoring, options.ed_thr)))
-    final = score_full(raw, small) if options.second_best else score_light(raw, small)
+    blocks = with_gap_and_span(drop_overlaps(segment_chunks(chunks, order, options.scoring, options.ed_thr)))
+    scored = score_full(blocks, order) if options.second_best else score_light(blocks, reads.sparkSession.createDataFrame(order, strands.schema))
     second = F.coalesce("second_best_identity", F.lit(-1.0))
-    final = final.withColumn("reliability", reliability(F.col("identity"), second, options.reliability))
-    final = final.where(F.col("identity") >= options.min_identity)
-    return Decomposition(raw.drop("segment"), final.drop("segment"), alt_table(final))
+    scored = scored.withColumn("reliability", reliability(F.col("identity"), second, options.reliability))
+    if keep:
+        blocks = scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    final = scored.where(F.col("identity") >= options.min_identity)
+    raw = blocks.select("read_ordinal", "read_name", "block_idx", "monomer", "start", "end", "score", "gap", "span")
+    return Decomposition(raw, final.drop("segment"), alt_table(final), blocks)

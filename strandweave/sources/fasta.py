@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,62 +14,100 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.sequences import header_name
 
 SCHEMA = "ordinal long, name string, seq string"
+#: Bytes of a file that make one partition, where the option ``splitBytes`` does not say otherwise, and bytes read at a time.
+SPLIT, READ = 64 << 20, 4 << 20
+#: An ordinal is the file's number and the byte where the record starts.
+FILE_BITS = 44
+
+
+def record(text: str) -> tuple[str, str]:
+    """(name, sequence) of one record without its ``>``; the name is the first token of the header."""
+    head, *lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    tokens = head.split()
+    if not tokens:
+        raise ValueError("a FASTA header without a name")
+    return tokens[0], "".join(lines)
+
+
+@dataclass
+class _Split(InputPartition):
+    number: int
+    path: str
+    first: int
+    last: int
+
+
+def _starts(source, first: int, last: int) -> Iterator[tuple[int, bytes]]:
+    """(byte, record) of the records whose ``>`` lies at bytes ``first`` to ``last`` (not included) and starts a line."""
+    at = max(0, first - 1)  # the line end before a record may be the last byte of the split before
+    source.seek(at)
+    held, begun = b"\n" if first == 0 else b"", first == 0
+    at -= len(held)  # ``held`` starts at this byte of the file
+    scanned = 0
+    while True:
+        found = held.find(b"\n>", scanned)
+        if found >= 0:
+            if begun and found:
+                yield at, held[:found]
+            if at + found + 1 >= last:
+                return
+            held, at, begun, scanned = held[found + 1 :], at + found + 1, True, 1
+            continue
+        scanned = max(0, len(held) - 1) if begun else 0
+        if not begun:
+            held, at = held[-1:], at + max(0, len(held) - 1)
+            if at >= last:
+                return
+        more = source.read(READ)
+        if not more:
+            if begun and held.strip():
+                yield at, held
+            return
+        held += more
 
 
-def records(lines: Iterator[str]) -> Iterator[tuple[str, str]]:
-    """(name, sequence) of FASTA lines; the name is the first token of the header."""
-    name, parts = None, []
-    for line in lines:
-        line = line.rstrip("\r\n")
-        if line.startswith(">"):
-            if name is not None:
-                yield name, "".join(parts)
-            tokens = line[1:].split()
-            if not tokens:
-                raise ValueError("a FASTA header without a name")
-            name, parts = tokens[0], []
-        elif line:
-            if name is None:
-                raise ValueError("sequence before the first FASTA header")
-            parts.append(line)
-    if name is not None:
-        yield name, "".join(parts)
-
+class _Reader(DataSourceReader):
+    def __init__(self, path: str, split: int):
+        self.uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+        self.split = split
 
-class _File(InputPartition):
-    def __init__(self, uri: str):
-        super().__init__(uri)
+    def _system(self):
+        from pyarrow import fs
 
+        return fs.FileSystem.from_uri(self.uri)
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
+    def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        self.path = path
-        system, place = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        system, place = self._system()
         info = system.get_file_info(place)
         files = [info] if info.is_file else sorted(system.get_file_info(fs.FileSelector(place, recursive=True)), key=lambda f: f.path)
-        self.files = [f.path for f in files if f.is_file and f.size]
+        files = [f for f in files if f.is_file and f.size]
+        return [_Split(k, f.path, a, min(a + self.split, f.size)) for k, f in enumerate(files) for a in range(0, f.size, self.split)] or [_Split(0, "", 0, 0)]
 
-    def partitions(self) -> list[InputPartition]:
-        return [_File(f) for f in self.files] or [_File("")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import io
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        with self._system()[0].open_input_file(partition.path) as source:
+            rows, size = [], 0
+            for at, raw in _starts(source, partition.first, partition.last):
+                if not raw.startswith(b">"):
+                    raise ValueError("sequence before the first FASTA header")
+                rows.append(((partition.number << FILE_BITS) + at, *record(raw[1:].decode())))
+                size += len(raw)
+                if size > READ:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows)
 
-        from pyarrow import fs
 
-        if not partition.value:
-            return
-        system, _ = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
-        base = self.files.index(partition.value) << 40
-        with system.open_input_stream(partition.value) as stream:
-            for k, (name, seq) in enumerate(records(io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8"))):
-                yield base + k, name, seq
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], names=["ordinal", "name", "seq"])
 
 
 class FastaSource(DataSource):
-    """One partition a file; ordinals rise in file order. Options: ``path``."""
+    """Files in splits of ``splitBytes``; a record belongs to the split where it starts, and ordinals rise in file order. Options: ``path``, ``splitBytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -77,16 +117,16 @@ class FastaSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("splitBytes", SPLIT)))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastaSource)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
     register(spark)
-    return spark.read.format("fasta").load(path)
+    return spark.read.format("fasta").option("splitBytes", split_bytes).load(path)
 
 
 def read_fasta_text(spark: SparkSession, path: str) -> DataFrame:
@@ -99,10 +139,15 @@ def read_fasta_text(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def as_reads(df: DataFrame) -> DataFrame:
-    return df.select(F.col("ordinal").alias("read_ordinal"), F.col("name").alias("read_name"), "seq")
+def _seq(upper: bool):
+    return F.upper("seq") if upper else F.col("seq")
+
+
+def as_reads(df: DataFrame, upper: bool = False) -> DataFrame:
+    """Reads; ``upper`` takes lower-case letters for the same bases, which otherwise fail."""
+    return df.select(F.col("ordinal").alias("read_ordinal"), F.col("name").alias("read_name"), _seq(upper).alias("seq"))
 
 
-def as_monomers(df: DataFrame) -> DataFrame:
+def as_monomers(df: DataFrame, upper: bool = False) -> DataFrame:
     """Monomers with ordinals from 0 in their order; they are few, so one task may number them."""
-    return df.select((F.row_number().over(W.orderBy("ordinal")) - 1).alias("ordinal"), "name", "seq")
+    return df.select((F.row_number().over(W.orderBy("ordinal")) - 1).alias("ordinal"), "name", _seq(upper).alias("seq"))

@@ -65,14 +65,12 @@ def path(q: str, t: str) -> str:
 
 
 def fold(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out, i = [], 0
-    while i < len(blocks):
-        for j in range(i + 1, min(i + 7, len(blocks))):
-            if (blocks[i][1] - blocks[j][0]) * 2 > blocks[j][1] - blocks[j][0]:
-                out.append(blocks[i])
-                i = j + 1
-                break
-        if i < len(blocks):
-            out.append(blocks[i])
-        i += 1
-    return out
+    """The first block stays. Where it covers over half of one of the six after it, the blocks up to that
+    one go and the next stays, unlooked at; the same holds for what follows."""
+    if not blocks:
+        return []
+    (_, end), rest = blocks[0], blocks[1:]
+    covered = [k for k, (a, b) in enumerate(rest[:6]) if 2 * (end - a) > b - a]
+    tail = rest[covered[0] + 1 :] if covered else rest
+    unseen = tail[: bool(covered)]
+    return blocks[:1] + unseen + fold(tail[len(unseen) :])

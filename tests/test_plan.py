@@ -128,6 +128,91 @@ def test_fasta_sources(spark, tmp_path):
     assert decompose(as_reads(read_fasta(spark, str(tmp_path / "a.fa"))), as_monomers(read_fasta(spark, str(tmp_path / "a.fa")))).raw.count() >= 2
 
 
+def test_fasta_splits(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    text = ">a one\nACGT\nAC\n>b\r\nGG\r\n\n>c\n>d x\nTTTTTTTTTTTTTTTTTTTTTTTT\nN\n>e\nC"
+    want = [("a", "ACGTAC"), ("b", "GG"), ("c", ""), ("d", "T" * 24 + "N"), ("e", "C")]
+    (tmp_path / "in" / "1.fa").write_bytes(text.encode())
+    (tmp_path / "in" / "2.fa").write_bytes(text.encode())
+    for size in (1, 2, 3, 7, 8, 19, 1000):
+        rows = read_fasta(spark, str(tmp_path / "in"), size).orderBy("ordinal").collect()
+        assert [(r["name"], r["seq"]) for r in rows] == want * 2, size
+        assert len({r["ordinal"] for r in rows}) == 10
+    assert read_fasta(spark, str(tmp_path / "in"), 20).rdd.getNumPartitions() > 4
+    (tmp_path / "bad.fa").write_text("ACGT\n>a\nA\n")
+    (tmp_path / "none.fa").write_text("> \nACGT\n")
+    for name in ("bad.fa", "none.fa"):
+        with pytest.raises(PySparkException):
+            read_fasta(spark, str(tmp_path / name)).collect()
+
+
+def test_command_line(spark, tmp_path):
+    from strandweave import __main__ as cli
+
+    (tmp_path / "r.fa").write_text(">r1 some\nACGTacgt\n>r2\nAC\n")
+    (tmp_path / "m.fa").write_text(">m1\nAC\n")
+    args = [str(tmp_path / "r.fa"), str(tmp_path / "m.fa"), "-o", str(tmp_path / "out"), "--out-file", "t", "--second-best"]
+    with pytest.raises(PySparkException):
+        cli.main(args)
+    log = tmp_path / "out" / cli.LOG
+    assert cli.FINISHED not in log.read_text()
+    cli.main([*args, "--upper"])
+    assert cli.FINISHED in log.read_text().splitlines()[-1]
+    lines = {n: sorted(x for f in (tmp_path / "out" / n).glob("part-*") for x in f.read_text().splitlines()) for n in ("t_raw.tsv", "t.tsv", "t_alt.tsv")}
+    assert lines["t_raw.tsv"] == sorted(["r1\tm1'\t2\t3\t2.000000\t1\t1", "r1\tm1'\t6\t7\t2.000000\t1\t1", "r1\tm1\t0\t1\t2.000000\t0\t1", "r1\tm1\t4\t5\t2.000000\t1\t1", "r2\tm1\t0\t1\t2.000000\t0\t1"])
+    assert len(lines["t.tsv"]) == 5 and len(lines["t_alt.tsv"]) == 10
+
+
+def test_plans_segment_once_and_score_in_place(spark):
+    found = decompose(reads(spark, "ACGT" * 9), monomers(spark, m1="AC", m2="GGT"), Options(second_best=True), keep=True)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert found.raw.count() and all(plan(t).count("InMemoryRelation") == 1 for t in (found.raw, found.final, found.alt))
+    found.blocks.unpersist()
+    found = decompose(reads(spark, "ACGT" * 9), monomers(spark, m1="AC", m2="GGT"), Options(second_best=True))
+    physical = found.final._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange ") == 2 and "Join" not in physical and "Aggregate" not in physical
+    chunked = chunk_reads(reads(spark, "ACGT" * 9), 5, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(transform(filter(" in chunked and "unrequiredChildIndex" not in chunked.replace("[2]", "")
+
+
+def test_second_best_equals_a_plain_version(spark):
+    """Two monomers of one name, a palindrome, lengths across 64 and 128, against loops over every pair."""
+    import random
+    import re
+
+    r = random.Random(11)
+    text = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    half = text(33)
+    ms = [("a", text(170)), ("b", text(70)), ("a", text(131)), ("p", half + half[::-1].translate(str.maketrans("ACGT", "TGCA")))]
+    read = "".join(r.choice(ms)[1] for _ in range(9))
+    rows = [(0, "r0", "".join(c if r.random() > 0.08 else r.choice("ACGT") for c in read)), (1, "r1", text(300))]
+    found = decompose(spark.createDataFrame(rows, READS), spark.createDataFrame([(k, *m) for k, m in enumerate(ms)], MONOMERS), Options(second_best=True))
+    alt = {}
+    for x in found.alt.collect():
+        alt.setdefault((x["read_name"], x["block_idx"]), []).append((x["alt_idx"], x["monomer"], x["identity"], x["star"]))
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    pairs = [p for n, s in ms for p in ((n, s), (n + "'", rc(s)))]
+
+    def score(a, b):
+        path = plain.path(a, b)
+        return path.count("=") / len(path) * 100
+
+    compress = lambda s: re.sub(r"(.)\1+", r"\1", s)
+    seqs = {n: s for _, n, s in rows}
+    for x in found.final.collect():
+        part = seqs[x["read_name"]][x["start"] : x["end"] + 1]
+        known, homo = {}, []
+        for n, s in pairs:
+            known[n] = score(part, s)
+            homo.append((score(compress(part), compress(s)), n))
+        others = [(n, v) for n, v in known.items() if n != x["monomer"]]
+        second = max(others, key=lambda p: p[1])
+        homo.sort(key=lambda p: -p[0])
+        got = (x["identity"], x["second_best"], x["second_best_identity"], x["homo_best"], x["homo_best_identity"], x["homo_second_best"], x["homo_second_best_identity"])
+        assert got == (known[x["monomer"]], second[0], second[1], homo[0][1], homo[0][0], homo[1][1], homo[1][0])
+        assert sorted(alt[x["read_name"], x["block_idx"]]) == [(k, n, v, "*" if n == x["monomer"] else "-") for k, (n, v) in enumerate(known.items())]
+
+
 def test_sql_functions(spark):
     align.register(spark)
     row = spark.sql("SELECT seq_align_nw('AG', 'GA').cigar AS c, seq_infix_distance('CG', 'AACGT') AS d").first()
