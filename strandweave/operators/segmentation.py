@@ -22,6 +22,26 @@ def nearest(distances: list[int], limit: int) -> list[int]:
     return order[:1] + [k for k in order[1:] if distances[k] <= limit]
 
 
+CANDIDATES = "read_ordinal long, chunk_idx int, place int, dp_ordinal int, distance int"
+
+
+def candidate_monomers(chunks: DataFrame, monomers: list, ed_thr: int) -> DataFrame:
+    """Of each chunk the nearest monomer and all within ``ed_thr``, in the order that breaks ties; see ``CANDIDATES``.
+
+    ``monomers``: a checked list, as for ``segment_chunks``.
+    """
+    seqs, ordinals = [m["seq"] for m in monomers], [m["dp_ordinal"] for m in monomers]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ordinal, index, seq = (c.to_pylist() for c in batch.columns)
+            found = kernels.infix_distances(seqs, seq)
+            rows = [(ordinal[c], index[c], place, ordinals[k], d[k]) for c, d in enumerate(found) for place, k in enumerate(nearest(d, ed_thr), 1)]
+            yield _table(rows, CANDIDATES)
+
+    return chunks.select("read_ordinal", "chunk_idx", "chunk_seq").mapInArrow(run, CANDIDATES)
+
+
 def segment_chunks(chunks: DataFrame, monomers: list, scoring: Scoring, ed_thr: int = -1) -> DataFrame:
     """Best tiling of each chunk; see ``BLOCKS``. Positions are those of the read.
 

@@ -1,4 +1,10 @@
-"""Queries over the driver's tables: documents are reads, part names make the monomers."""
+"""Queries over the driver's tables.
+
+Reads are documents or benchmark items; monomers are made of part names (few, and alike at every
+size) or are the benchmark items. SQL covers the queries over benchmark items as reads, and those
+over documents that are plain expressions; the decomposition of all documents is too slow in SQL on
+whole tables, and tests compare the same operators with plain versions.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import oracles as O
 from .functions import sequences as S
 from .operators import align as A
-from .operators.chunks import chunk_counts, chunk_reads
-from .operators.monomers import both_strands
-from .operators.scoring import reliability
-from .params import RELIABILITY, Options
+from .operators import segmentation
+from .operators.chunks import chunk_counts, chunk_reads, require_unique_names
+from .operators.monomers import both_strands, collect_checked
+from .params import Options
 from .plans.decompose import decompose
+from .sources import tsv
 
 PART_SIZE, OVERLAP, ED_THR = 500, 100, 6
 OPTIONS = Options(part_size=PART_SIZE, overlap=OVERLAP)
+#: Items are short reads, so their chunks are too.
+ITEM_PART, ITEM_OVERLAP = 40, 15
+EQUALITIES = [("A", "N"), ("G", "T")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,25 +39,37 @@ def reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def monomers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One monomer for each first word of the part names (a small, fixed vocabulary): all such names' bases, joined."""
+def item_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("read_ordinal"), F.col("item_id").cast("string").alias("read_name"), S.bases(F.coalesce("text", F.lit(""))).alias("seq")
+    )
+
+
+def item_monomers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items as monomers, named by their ids."""
+    rows = item_reads(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit("m"), "read_name").alias("name"), "seq", "read_ordinal")
+    return rows.select((F.row_number().over(W.orderBy("read_ordinal")) - 1).alias("ordinal"), "name", "seq")
+
+
+def monomers_of(spark: SparkSession, sf_dir: str, total: bool = False) -> DataFrame:
+    """One monomer for each first word of the part names (a small, fixed vocabulary): all such names' bases, joined.
+
+    ``total`` adds one of all the names, longer than 128 symbols.
+    """
     names = _table(spark, sf_dir, "part").select("p_name").distinct().withColumn("name", F.substring_index("p_name", " ", 1))
-    joined = names.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("p_name")), "").alias("names"))
-    rows = joined.select("name", S.bases(F.col("names")).alias("seq")).where("seq <> ''")
+    joined = (names.rollup("name") if total else names.groupBy("name")).agg(F.array_join(F.array_sort(F.collect_list("p_name")), "").alias("names"))
+    rows = joined.select(F.coalesce("name", F.lit("all names")).alias("name"), S.bases(F.col("names")).alias("seq")).where("seq <> ''")
     return rows.select((F.row_number().over(W.orderBy("name")) - 1).alias("ordinal"), "name", "seq")
 
 
+def _strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both strands of the word monomers, as a small table of a checked size."""
+    strands = both_strands(monomers_of(spark, sf_dir, total=True))
+    return spark.createDataFrame(collect_checked(strands, OPTIONS.max_monomers), strands.schema)
+
+
 READS_SQL = "SELECT doc_id AS read_ordinal, CAST(doc_id AS VARCHAR) AS read_name, upper(regexp_replace(coalesce(text, ''), '[^ACGTNacgtn]', '', 'g')) AS seq FROM documents"
-MONOMERS_SQL = """SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS ordinal, name, seq FROM (
-    SELECT split_part(p_name, ' ', 1) AS name, upper(regexp_replace(string_agg(p_name, '' ORDER BY p_name), '[^ACGTNacgtn]', '', 'g')) AS seq
-    FROM (SELECT DISTINCT p_name FROM part) GROUP BY 1) WHERE seq <> ''"""
-STRANDS_SQL = f"""WITH m AS ({MONOMERS_SQL}), c AS (SELECT count(*) AS n FROM m),
-    s AS (SELECT ordinal AS dp_ordinal, 2 * ordinal AS rank_ordinal, name, seq FROM m
-          UNION ALL SELECT CAST(ordinal + n AS INTEGER), 2 * ordinal + 1, name || '''', reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM m, c)"""
-HOMO_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g'), 'N+', 'N', 'g')"
-CHUNKS_SQL = f"""WITH r AS ({READS_SQL}),
-    e AS (SELECT read_ordinal, read_name, seq, length(seq) AS n, unnest(range(0, greatest(length(seq), 1), {PART_SIZE})) AS chunk_offset FROM r),
-    k AS (SELECT *, CAST(chunk_offset / {PART_SIZE} AS INTEGER) AS chunk_idx FROM e WHERE n > 0 AND (n - chunk_offset >= {OVERLAP} OR n < {OVERLAP}))"""
+CHUNKS_SQL = f"""WITH r AS ({READS_SQL}), {O.chunks(PART_SIZE, OVERLAP)}"""
 
 
 def reads_projection(spark, sf_dir):
@@ -68,7 +91,7 @@ def reverse_complement(spark, sf_dir):
 
 
 def monomers_both_strands(spark, sf_dir):
-    return both_strands(monomers_of(spark, sf_dir)).select("dp_ordinal", "rank_ordinal", "name", "seq", "homo_seq")
+    return both_strands(monomers_of(spark, sf_dir, total=True)).select("dp_ordinal", "rank_ordinal", "name", "seq", "homo_seq")
 
 
 def homopolymer_compress(spark, sf_dir):
@@ -84,90 +107,161 @@ def counted_chunks(spark, sf_dir):
 
 
 def duplicate_names(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").cast("long").alias("occurrences")).where("occurrences > 1")
+    """Sources as read names: those that the check of names refuses."""
+    found = require_unique_names(_table(spark, sf_dir, "documents").select(F.col("source").alias("read_name")))
+    return found.select(F.col("read_name").alias("source"), F.col("count").alias("occurrences"))
 
 
-def edit_distance_nw(spark, sf_dir):
-    """JVM distance of the reads' first header-like word against each strand: all monomers against all monomers."""
-    s = both_strands(monomers_of(spark, sf_dir))
-    a = s.select(F.col("name").alias("query"), F.col("seq").alias("q"))
-    b = F.broadcast(s.select(F.col("name").alias("target"), F.col("seq").alias("t")))
-    return a.join(b, F.length("q") > 0).select("query", "target", F.levenshtein("q", "t").cast("long").alias("distance"))
+def _strand_pairs(spark, sf_dir):
+    """Every strand with every strand."""
+    s = _strands(spark, sf_dir)
+    return s.select(F.col("name").alias("query"), F.col("seq").alias("q")).crossJoin(F.broadcast(s.select(F.col("name").alias("target"), F.col("seq").alias("t"))))
 
 
-def _monomer_pairs(spark, sf_dir):
-    s = both_strands(monomers_of(spark, sf_dir))
-    a = s.select(F.col("name").alias("query"), F.col("seq").alias("q"), F.col("rank_ordinal").alias("query_ordinal"))
-    b = F.broadcast(s.select(F.col("name").alias("target"), F.col("seq").alias("t"), F.col("rank_ordinal").alias("target_ordinal")))
-    found = A.distance_and_matches(F.col("q"), F.col("t"))
-    return a.join(b, F.length("q") > 0).withColumn("found", found).withColumn("identity", A.identity_of(F.col("found")))
+def edit_distance_nw(spark, sf_dir):
+    """The JVM's distance and the aligner's."""
+    found = A.aligner("NW")(F.col("q"), F.col("t"))["edit_distance"]
+    return _strand_pairs(spark, sf_dir).select("query", "target", F.levenshtein("q", "t").cast("long").alias("distance"), found.cast("long").alias("aligned"))
 
 
 def identity(spark, sf_dir):
-    return _monomer_pairs(spark, sf_dir).select("query", "target", F.col("found.distance").alias("distance"), F.col("found.matches").alias("matches"), "identity")
+    pairs = _strand_pairs(spark, sf_dir).withColumn("found", A.distance_and_matches(F.col("q"), F.col("t")))
+    return pairs.select("query", "target", "found.distance", "found.matches", A.identity_of(F.col("found")).alias("identity"))
+
+
+def align_global(spark, sf_dir):
+    """Global paths: their operations spelled out from the CIGAR, its length and its matches."""
+    pairs = _strand_pairs(spark, sf_dir).withColumn("found", A.aligner("NW", "PATH")(F.col("q"), F.col("t")))
+    runs = F.transform(F.regexp_extract_all("found.cigar", F.lit("([0-9]+.)"), F.lit(1)), lambda x: F.repeat(F.right(x, F.lit(1)), F.regexp_extract(x, "[0-9]+", 0).cast("int")))
+    return pairs.select(
+        "query", "target", F.col("found.edit_distance").alias("distance"), F.array_join(runs, "").alias("operations"),
+        S.cigar_length(F.col("found.cigar")).alias("columns"), S.cigar_matches(F.col("found.cigar")).alias("matches"),
+    )
+
+
+def _locations(spark, sf_dir, mode):
+    pairs = _strand_pairs(spark, sf_dir).withColumn("found", A.aligner(mode, "LOC")(F.col("q"), F.col("t")))
+    at = lambda c: F.array_join(F.transform(f"found.{c}", lambda x: x.cast("string")), ",").alias(c)
+    return pairs.select("query", "target", F.col("found.edit_distance").alias("distance"), at("end_locations"), at("start_locations"))
+
+
+def align_infix(spark, sf_dir):
+    """Against substrings: all optimal ends, and the last start of each."""
+    return _locations(spark, sf_dir, "HW")
+
+
+def align_prefix(spark, sf_dir):
+    """Against prefixes: all optimal ends."""
+    return _locations(spark, sf_dir, "SHW")
+
+
+def align_within(spark, sf_dir):
+    """Global distances up to 12; beyond, -1."""
+    found = A.aligner("NW", "DISTANCE", 12)(F.col("q"), F.col("t"))["edit_distance"]
+    return _strand_pairs(spark, sf_dir).select("query", "target", found.cast("long").alias("distance"))
+
+
+def align_equalities(spark, sf_dir):
+    """Global distances where A equals N and G equals T."""
+    found = A.aligner("NW", "DISTANCE", equalities=EQUALITIES)(F.col("q"), F.col("t"))["edit_distance"]
+    return _strand_pairs(spark, sf_dir).select("query", "target", found.cast("long").alias("distance"))
+
+
+def _item_chunks(spark, sf_dir):
+    return chunk_reads(item_reads(spark, sf_dir), ITEM_PART, ITEM_OVERLAP)
+
+
+def _order(spark, sf_dir):
+    return collect_checked(both_strands(monomers_of(spark, sf_dir, total=True)), OPTIONS.max_monomers)
+
+
+def _items(spark, sf_dir, **options):
+    return decompose(item_reads(spark, sf_dir), monomers_of(spark, sf_dir, total=True), Options(part_size=ITEM_PART, overlap=ITEM_OVERLAP, **options))
+
+
+def _wide(df):
+    return df.select(*[F.col(c).cast("double") if t == "float" else F.col(c) for c, t in df.dtypes])
+
+
+def item_infix_distance(spark, sf_dir):
+    """Every chunk of the items against every strand."""
+    pairs = _item_chunks(spark, sf_dir).crossJoin(F.broadcast(_strands(spark, sf_dir).select("dp_ordinal", "seq")))
+    return pairs.select("read_ordinal", "chunk_idx", "dp_ordinal", A.infix_distance(F.col("seq"), F.col("chunk_seq")).alias("distance"))
+
+
+def item_candidates(spark, sf_dir):
+    return segmentation.candidate_monomers(_item_chunks(spark, sf_dir), _order(spark, sf_dir), ED_THR)
+
+
+def item_chunk_blocks(spark, sf_dir):
+    """Blocks of the chunks, before overlaps are folded."""
+    found = segmentation.segment_chunks(_item_chunks(spark, sf_dir), _order(spark, sf_dir), OPTIONS.scoring)
+    return _wide(found.select("read_ordinal", "chunk_idx", F.col("block_idx").cast("long").alias("block_idx"), "monomer", "start", "end", "score"))
+
+
+def item_raw_blocks(spark, sf_dir):
+    return _wide(_items(spark, sf_dir).raw)
+
+
+def item_pruned_blocks(spark, sf_dir):
+    return _wide(_items(spark, sf_dir, ed_thr=ED_THR).raw)
+
+
+FINAL = ("read_ordinal", "read_name", "block_idx", "monomer", "start", "end", "identity", "second_best", "second_best_identity", "homo_best", "homo_best_identity", "homo_second_best", "homo_second_best_identity", "reliability")
+
+
+def item_final(spark, sf_dir):
+    return _items(spark, sf_dir, second_best=True).final.select(*FINAL)
+
+
+def item_light(spark, sf_dir):
+    """Light mode, with the filter by identity."""
+    return _items(spark, sf_dir, min_identity=50).final.select("read_ordinal", "block_idx", "monomer", "start", "end", "identity", "reliability")
+
+
+def item_alt(spark, sf_dir):
+    return _items(spark, sf_dir, second_best=True).alt
+
+
+def item_lines(spark, sf_dir):
+    """The lines of the three files."""
+    found = _items(spark, sf_dir, second_best=True)
+    out = None
+    for kind, lines in (("raw", tsv.raw_lines(found.raw)), ("final", tsv.final_lines(found.final)), ("alt", tsv.alt_lines(found.alt))):
+        keys = [c for c in ("read_ordinal", "block_idx", "alt_idx") if c in lines.columns]
+        part = lines.select(F.lit(kind).alias("kind"), F.concat_ws("\t", *[F.col(c).cast("string") for c in lines.columns if c not in keys]).alias("line"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def second_best(spark, sf_dir):
-    pairs = _monomer_pairs(spark, sf_dir).where("query <> target")
-    return pairs.groupBy("query").agg(
-        F.max_by("target", F.struct("identity", -F.col("target_ordinal"))).alias("second_best"), F.max("identity").alias("second_best_identity")
-    )
+    return item_final(spark, sf_dir).select("read_ordinal", "block_idx", "second_best", "second_best_identity")
 
 
 def best_two(spark, sf_dir):
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("identity"), "target_ordinal"))
-    return _monomer_pairs(spark, sf_dir).withColumn("rank", rank).where("rank <= 2").select("query", "rank", "target", "identity")
+    """The best two strands of each block by homopolymer identity."""
+    return item_final(spark, sf_dir).select("read_ordinal", "block_idx", "homo_best", "homo_best_identity", "homo_second_best", "homo_second_best_identity")
 
 
 def reliability_filter(spark, sf_dir):
-    pairs = _monomer_pairs(spark, sf_dir)
-    rows = pairs.select("query", "target", "identity", reliability(F.col("identity"), F.lit(-1.0), RELIABILITY).alias("reliability"))
-    return rows.where(F.col("identity") >= 25)
-
-
-PAIRS_SQL = (
-    STRANDS_SQL.replace("WITH m", "WITH RECURSIVE m", 1)
-    + """,
-    p AS (SELECT a.name AS query, b.name AS target, b.rank_ordinal AS target_ordinal, a.seq AS q, b.seq AS t FROM s a, s b),
-    -- cell (i, j) by diagonals would need lists; rows carry lists of distances and matches instead
-    w AS (SELECT query, target, target_ordinal, q, t, 0 AS i, 0 AS j, range(0, length(t) + 1) AS up_d, list_transform(range(0, length(t) + 1), lambda x: 0) AS up_m,
-                 CAST([] AS BIGINT[]) AS row_d, CAST([] AS BIGINT[]) AS row_m FROM p
-          UNION ALL
-          SELECT query, target, target_ordinal, q, t,
-                 CASE WHEN len(row_d) = length(t) + 1 OR i = 0 THEN i + 1 ELSE i END,
-                 CASE WHEN len(row_d) = length(t) + 1 OR i = 0 THEN 0 ELSE j + 1 END,
-                 CASE WHEN len(row_d) = length(t) + 1 THEN row_d ELSE up_d END,
-                 CASE WHEN len(row_d) = length(t) + 1 THEN row_m ELSE up_m END,
-                 CASE WHEN len(row_d) = length(t) + 1 OR i = 0 THEN [CAST(i + 1 AS BIGINT)]
-                      ELSE list_append(row_d, least(up_d[j + 2] + 1, row_d[j + 1] + 1, up_d[j + 1] + CASE WHEN q[i] = t[j + 1] THEN 0 ELSE 1 END)) END,
-                 CASE WHEN len(row_d) = length(t) + 1 OR i = 0 THEN [CAST(0 AS BIGINT)]
-                      ELSE list_append(row_m, CASE
-                        WHEN up_d[j + 2] + 1 <= least(row_d[j + 1] + 1, up_d[j + 1] + CASE WHEN q[i] = t[j + 1] THEN 0 ELSE 1 END) THEN up_m[j + 2]
-                        WHEN row_d[j + 1] + 1 <= up_d[j + 1] + CASE WHEN q[i] = t[j + 1] THEN 0 ELSE 1 END THEN row_m[j + 1]
-                        ELSE up_m[j + 1] + CASE WHEN q[i] = t[j + 1] THEN 1 ELSE 0 END END) END
-          FROM w WHERE i < length(q) OR len(row_d) < length(t) + 1),
-    f AS (SELECT query, target, target_ordinal, CAST(row_d[length(t) + 1] AS INTEGER) AS distance, CAST(row_m[length(t) + 1] AS INTEGER) AS matches
-          FROM w WHERE i = length(q) AND len(row_d) = length(t) + 1),
-    g AS (SELECT *, CAST(matches AS DOUBLE) / greatest(matches + distance, 1) * 100 AS identity FROM f)"""
-)
+    """Blocks of an identity of 55 or more, with their reliability."""
+    return _items(spark, sf_dir, second_best=True, min_identity=55).final.select("read_ordinal", "block_idx", "identity", "reliability")
 
 
 def infix_distance(spark, sf_dir):
-    """Least distance of every monomer strand to each chunk: the pairs that candidate pruning looks at."""
+    """Least distance of every monomer strand to each chunk of the documents: the pairs that candidate pruning looks at."""
     chunks = chunk_reads(reads_of(spark, sf_dir), PART_SIZE, OVERLAP)
-    strands = F.broadcast(both_strands(monomers_of(spark, sf_dir)).select("dp_ordinal", "seq"))
-    return chunks.join(strands).select("read_ordinal", "chunk_idx", "dp_ordinal", A.infix_distance(F.col("seq"), F.col("chunk_seq")).alias("distance"))
+    strands = F.broadcast(_strands(spark, sf_dir).select("dp_ordinal", "seq"))
+    return chunks.crossJoin(strands).select("read_ordinal", "chunk_idx", "dp_ordinal", A.infix_distance(F.col("seq"), F.col("chunk_seq")).alias("distance"))
 
 
 def candidate_monomers(spark, sf_dir):
-    """Of each chunk the nearest strand and all within the threshold, in tie order."""
-    w = W.partitionBy("read_ordinal", "chunk_idx").orderBy("distance", "dp_ordinal")
-    ranked = infix_distance(spark, sf_dir).withColumn("place", F.row_number().over(w))
-    return ranked.where((F.col("place") == 1) | (F.col("distance") <= ED_THR))
+    """Of each chunk of the documents the nearest strand and all within the threshold, in tie order."""
+    return segmentation.candidate_monomers(chunk_reads(reads_of(spark, sf_dir), PART_SIZE, OVERLAP), _order(spark, sf_dir), ED_THR)
 
 
-def _decomposed(spark, sf_dir, **options):
-    return decompose(reads_of(spark, sf_dir), monomers_of(spark, sf_dir), Options(part_size=PART_SIZE, overlap=OVERLAP, **options))
+def _decomposed(spark, sf_dir, monomers=monomers_of, **options):
+    return decompose(reads_of(spark, sf_dir), monomers(spark, sf_dir), Options(part_size=PART_SIZE, overlap=OVERLAP, **options))
 
 
 def raw_blocks(spark, sf_dir):
@@ -183,37 +277,74 @@ def light_decomposition(spark, sf_dir):
 
 
 def final_decomposition(spark, sf_dir):
-    return _decomposed(spark, sf_dir, second_best=True).final.drop("alt")
+    """All documents by the benchmark items, with second best."""
+    return _decomposed(spark, sf_dir, item_monomers, second_best=True).final.select(*FINAL)
 
 
 def alt_table(spark, sf_dir):
-    return _decomposed(spark, sf_dir, second_best=True).alt
+    return _decomposed(spark, sf_dir, item_monomers, second_best=True).alt
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         reads_projection, invalid_symbols, n_content, reverse_complement, monomers_both_strands, homopolymer_compress, chunked_reads,
-        counted_chunks, duplicate_names, edit_distance_nw, identity, second_best, best_two, reliability_filter, infix_distance,
-        candidate_monomers, raw_blocks, pruned_blocks, light_decomposition, final_decomposition, alt_table,
+        counted_chunks, duplicate_names, edit_distance_nw, identity, align_global, align_infix, align_prefix, align_within, align_equalities,
+        item_infix_distance, item_candidates, item_chunk_blocks, item_raw_blocks, item_pruned_blocks, item_light, item_final, item_alt, item_lines,
+        second_best, best_two, reliability_filter, infix_distance, candidate_monomers, raw_blocks, pruned_blocks, light_decomposition,
+        final_decomposition, alt_table,
     )
 }
 
-#: The decomposition itself (and the infix distances, over every chunk) are too slow in SQL on whole
-#: tables; tests compare them with plain versions on small inputs.
+_WORDS = f"WITH RECURSIVE {O.MONOMERS}"
+_PAIRS = f"{_WORDS}, {O.STRAND_PAIRS}"
+_ITEMS = f"{_WORDS}, {O.READS}, {O.chunks(ITEM_PART, ITEM_OVERLAP)}"
+_NEAR = f"{_ITEMS}, {O.PAIRED}, {O.infix('cs')}"
+_RAW = f"{_ITEMS}, {O.EVERY_LANE}, {O.BLOCKS}, {O.RAW}"
+_FINAL = f"{_RAW}, {O.SCORES}"
+_TABLE = 'SELECT read_ordinal, read_name, block_idx, monomer, "start", "end", CAST(score AS DOUBLE) AS score, gap, span FROM raw'
+_SAME = "(q[i + 1] = t[j] OR q[i + 1] || t[j] IN ('AN', 'NA', 'GT', 'TG'))"
+_ALT = "SELECT read_ordinal, read_name, block_idx, CAST(row_number() OVER (PARTITION BY read_ordinal, block_idx ORDER BY rank_ordinal) - 1 AS INTEGER) AS alt_idx, candidate AS monomer, \"start\", \"end\", idnt AS identity, CASE WHEN candidate = monomer THEN '*' ELSE '-' END AS star FROM scored"
+
+
+def _ends(first: str, starts: str) -> str:
+    """Optimal ends; the place before the first letter counts where the query's length is no multiple of 64."""
+    return f"""{_PAIRS}, {O.traced('sp', first)},
+    least AS (SELECT *, min(d) OVER (PARTITION BY pid) AS best FROM bottom WHERE j > 0 OR length(q) % 64 <> 0)
+    SELECT query, target, best AS distance, string_agg(CAST(j - 1 AS VARCHAR), ',' ORDER BY j) AS end_locations, string_agg(CAST({starts} AS VARCHAR), ',' ORDER BY j) AS start_locations
+    FROM least JOIN sp USING (pid) WHERE d = best GROUP BY ALL"""
+
+
 ORACLES = {
     "reads_projection": READS_SQL,
     "invalid_symbols": "SELECT doc_id AS read_ordinal, CAST(length(regexp_replace(coalesce(text, ''), '[ACGTN]', '', 'g')) AS BIGINT) AS invalid_symbols FROM documents WHERE NOT regexp_full_match(coalesce(text, ''), '[ACGTN]*')",
     "n_content": f"SELECT read_ordinal, contains(seq, 'N') AS has_n, CAST(length(seq) - length(replace(seq, 'N', '')) AS BIGINT) AS n_count FROM ({READS_SQL})",
     "reverse_complement": f"SELECT read_ordinal, reverse(translate(seq, 'ACGTN', 'TGCAN')) AS rc FROM ({READS_SQL})",
-    "monomers_both_strands": f"{STRANDS_SQL} SELECT dp_ordinal, rank_ordinal, name, seq, {HOMO_SQL.format('seq')} AS homo_seq FROM s",
-    "homopolymer_compress": f"SELECT read_ordinal, {HOMO_SQL.format('seq')} AS homo_seq FROM ({READS_SQL})",
-    "chunked_reads": f"{CHUNKS_SQL} SELECT read_ordinal, chunk_idx, chunk_offset, substr(seq, chunk_offset + 1, {PART_SIZE + OVERLAP}) AS chunk_seq FROM k",
-    "counted_chunks": f"{CHUNKS_SQL} SELECT read_ordinal, count(*) AS chunks FROM k GROUP BY read_ordinal",
+    "monomers_both_strands": f"{_WORDS} SELECT dp_ordinal, rank_ordinal, name, seq, {O.homo('seq')} AS homo_seq FROM s",
+    "homopolymer_compress": f"SELECT read_ordinal, {O.homo('seq')} AS homo_seq FROM ({READS_SQL})",
+    "chunked_reads": f"{CHUNKS_SQL} SELECT read_ordinal, chunk_idx, off AS chunk_offset, seq AS chunk_seq FROM c",
+    "counted_chunks": f"{CHUNKS_SQL} SELECT read_ordinal, count(*) AS chunks FROM c GROUP BY read_ordinal",
     "duplicate_names": "SELECT source, count(*) AS occurrences FROM documents GROUP BY source HAVING count(*) > 1",
-    "edit_distance_nw": f"{STRANDS_SQL} SELECT a.name AS query, b.name AS target, levenshtein(a.seq, b.seq) AS distance FROM s a, s b",
-    "identity": f"{PAIRS_SQL} SELECT query, target, distance, matches, identity FROM g",
-    "second_best": f"{PAIRS_SQL} SELECT query, arg_max(target, struct_pack(a := identity, b := -target_ordinal)) AS second_best, max(identity) AS second_best_identity FROM g WHERE query <> target GROUP BY query",
-    "best_two": f"{PAIRS_SQL} SELECT query, CAST(rank AS INTEGER) AS rank, target, identity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY identity DESC, target_ordinal) AS rank FROM g) WHERE rank <= 2",
-    "reliability_filter": f"{PAIRS_SQL} SELECT query, target, identity, CASE WHEN {RELIABILITY[0]} + {RELIABILITY[1]} * identity + {RELIABILITY[2]} * (identity + 1) > 0 THEN '+' ELSE '?' END AS reliability FROM g WHERE identity >= 25",
+    "edit_distance_nw": f"{_PAIRS} SELECT query, target, levenshtein(q, t) AS distance, levenshtein(q, t) AS aligned FROM sp",
+    "identity": f"{_PAIRS}, {O.matched('SELECT DISTINCT q, t FROM sp')} SELECT query, target, d AS distance, m AS matches, {O.identity('f')} AS identity FROM sp JOIN nw_found f USING (q, t)",
+    "align_global": f"{_PAIRS}, {O.traced('sp', '0')} SELECT query, target, d AS distance, o AS operations, CAST(length(o) AS INTEGER) AS columns, CAST(length(replace(o, '=', '==')) - length(o) AS INTEGER) AS matches FROM bottom JOIN sp USING (pid) WHERE j = length(bottom.t)",
+    "align_infix": _ends("-k", "CASE WHEN j > 0 THEN a ELSE 0 END"),
+    "align_prefix": _ends("0", "0"),
+    "align_within": f"{_PAIRS} SELECT query, target, CASE WHEN levenshtein(q, t) <= 12 THEN levenshtein(q, t) ELSE -1 END AS distance FROM sp",
+    "align_equalities": f"{_PAIRS}, {O.traced('sp', '0', _SAME)} SELECT query, target, CAST(d AS BIGINT) AS distance FROM bottom JOIN sp USING (pid) WHERE j = length(bottom.t)",
+    "item_infix_distance": f"{_NEAR} SELECT read_ordinal, chunk_idx, dp_ordinal, distance FROM cs JOIN near USING (pid)",
+    "item_candidates": f"{_NEAR}, {O.NEAREST.format(ED_THR)} SELECT read_ordinal, chunk_idx, CAST(place AS INTEGER) AS place, dp_ordinal, distance FROM chosen",
+    "item_chunk_blocks": f'{_ITEMS}, {O.EVERY_LANE}, {O.BLOCKS} SELECT read_ordinal, chunk_idx, block_idx, monomer, "start", "end", CAST(score AS DOUBLE) AS score FROM b',
+    "item_raw_blocks": f"{_RAW} {_TABLE}",
+    "item_pruned_blocks": f"{_NEAR}, {O.NEAREST.format(ED_THR)}, {O.CHOSEN_LANES}, {O.BLOCKS}, {O.RAW} {_TABLE}",
+    "item_light": f"""{_FINAL} SELECT read_ordinal, block_idx, monomer, "start", "end", identity, CASE WHEN {O.B0} + {O.B1} * identity + {O.B2} * (identity + 1) > 0 THEN '+' ELSE '?' END AS reliability FROM final WHERE identity >= 50""",
+    "item_final": f"{_FINAL} SELECT * FROM final",
+    "item_alt": f"{_FINAL} {_ALT}",
+    "item_lines": f"""{_FINAL}, alts AS ({_ALT})
+        SELECT 'raw' AS kind, concat_ws('\t', read_name, monomer, "start", "end", printf('%.6f', CAST(score AS DOUBLE)), gap, span) AS line FROM raw
+        UNION ALL SELECT 'final', concat_ws('\t', read_name, monomer, "start", "end", printf('%.2f', identity), second_best, printf('%.2f', second_best_identity), homo_best, printf('%.2f', homo_best_identity), homo_second_best, printf('%.2f', homo_second_best_identity), reliability) FROM final
+        UNION ALL SELECT 'alt', concat_ws('\t', read_name, monomer, "start", "end", printf('%.2f', identity), star) FROM alts""",
+    "second_best": f"{_FINAL} SELECT read_ordinal, block_idx, second_best, second_best_identity FROM final",
+    "best_two": f"{_FINAL} SELECT read_ordinal, block_idx, homo_best, homo_best_identity, homo_second_best, homo_second_best_identity FROM final",
+    "reliability_filter": f"{_FINAL} SELECT read_ordinal, block_idx, identity, reliability FROM final WHERE identity >= 55",
 }

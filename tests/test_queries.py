@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "part"):
+    for t in ("documents", "part", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, str(DATA)).toPandas()
