@@ -3,17 +3,18 @@
 Terms (whole words, and stems that start a word) are learned from document frequencies in
 labelled rows. Words of a text run through a deterministic automaton made lazily from the
 states (trie node, edits) of the Levenshtein automaton intersected with the lexicon trie, so
-one walk finds exact terms, stems and misspellings (which keep the first letter). A
+one walk finds exact terms, stems and misspellings (of the first letter in long terms, or where
+a digit stands for it). A
 misspelling doesn't count where its counts in toxic and clean training texts speak against a
-term's odds. The window around a match tells quotation (quotation marks,
-reporting words) from abuse (address in the second person). A logistic model turns the
+term's odds. The window around a match tells quotation (quotation marks within ``MARKS`` characters
+on its line, reporting words within ``WINDOW`` words) from abuse (address in the second person). A logistic model turns the
 windows' sums into a score; its rows are extended by the same rows with every match
 misspelled (still toxic) and with every match quoted (not toxic).
 
 Labels, language, source and ids never enter a score.
 
 Defined results: null text counts as empty; an empty text gets the score of a text without
-matches. Several labels of one id count as toxic if one is; null labels are left out. Copies
+matches; texts of any length are read whole. Several labels of one id count as toxic if one is; null labels are left out. Copies
 of a text count once in training. Without labelled rows of both kinds every score is 0.
 Extra columns pass through. All terms and innocent spellings that qualify are held; beyond
 ``LEXICON_BYTES`` and the other byte bounds fitting fails instead of leaving any out.
@@ -44,6 +45,8 @@ INNOCENT_G = 6.63
 CANDIDATE_BYTES, LEXICON_BYTES, INNOCENT_BYTES = 32 << 20, 1 << 20, 16 << 20
 #: Stems have so many letters; terms of so many letters may be misspelled.
 STEM, FUZZY = (4, 8), 5
+#: Terms of so many letters may be misspelled in the first one too; shorter ones only by a digit.
+FIRST = 7
 #: Labelled rows that the logistic model is fitted on, at most (about; picked by a hash of the text).
 FIT_ROWS = 20_000
 #: Most (id, hash, label) rows that are broadcast, about 40 bytes each.
@@ -53,7 +56,8 @@ BITMAP = 20
 #: Entries of a task's counts before they are passed on.
 PARTIAL = 150_000
 REMEMBERED = 120_000
-WINDOW = 6
+#: The window around a match: words, and characters in which an opening and a closing quotation mark are looked for.
+WINDOW, MARKS = 6, 80
 THRESHOLD = 0.7
 
 WORD = re.compile(r"[^\W_]+")
@@ -122,10 +126,15 @@ class Lexicon:
         self.moves[state][c] = self.number[new]
         return self.number[new]
 
+    @staticmethod
+    def may_be(word: str, term: str) -> bool:
+        """Whether an edit of the first letter is taken for a misspelling: in a long term, or where the word starts with a digit."""
+        return word[0] == term[0] or len(term) >= FIRST or word[0].isdigit()
+
     def match(self, word: str) -> tuple[int, bool] | None:
         """(term, misspelled) of the best match of ``word``: exact, stem, then misspelled.
 
-        Of several misspelled terms of the word's first letter the one of the greatest weight is taken.
+        Of several misspelled terms the one of the greatest weight is taken, of equal weights the first term.
         """
         state, stem, near = 0, -1, set()
         for c in word:
@@ -152,7 +161,7 @@ class Lexicon:
                     near.add(k)
         if stem >= 0:
             return stem, False
-        near = [k for k in near if word[0] == self.terms[k][0][0]]
+        near = [k for k in near if self.may_be(word, self.terms[k][0])]
         return (max(near, key=lambda k: (self.terms[k][2], -k)), True) if near and word not in self.innocent else None
 
 
@@ -197,7 +206,7 @@ class Scorer:
             term, fuzzy = hit
             weight = self.lexicon.terms[term][2]
             around = words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW]
-            quoted = bool(OPEN.search(low[max(0, m.start() - 80) : m.start()]) and CLOSE.search(low[m.end() : m.end() + 80]))
+            quoted = bool(OPEN.search(low[max(0, m.start() - MARKS) : m.start()]) and CLOSE.search(low[m.end() : m.end() + MARKS]))
             quoted = quoted or not REPORT.isdisjoint(around)
             sums[2 * fuzzy + quoted] += weight
             address += not quoted and not ADDRESS.isdisjoint(around)
@@ -235,7 +244,7 @@ def augment(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def choose_terms(rows: list[tuple[str, bool, float, float]]) -> list[tuple[str, bool, float]]:
     """Terms by G value; along a trie path only the best one stays (of equals the longest)."""
-    taken, kept, covered = [], set(), set()
+    taken, kept, covered = [], set(), set()  # terms, their spellings, and all beginnings of those
     for term, whole, odds, _ in sorted(rows, key=lambda r: (-r[3], -len(r[0]), not r[1], r[0])):
         spelled = term + "$" * whole
         paths = {spelled[:k] for k in range(1, len(spelled) + 1)}
