@@ -10,8 +10,8 @@ Smaller records are all ``response``.
 
 Defined results: a null html is an empty payload; a null url leaves the target header out;
 rows that share the largest key are all ``response``; a null key never is the largest, and
-where no row of equal payload has a key all of them are ``response``. An empty table gives an
-empty index. Extra columns are not archived.
+where no row of equal payload has a key all of them are ``response``. A payload of any length is
+one record. An empty table gives an empty index. Extra columns are not archived.
 """
 
 from __future__ import annotations
@@ -143,7 +143,8 @@ def read_archives(index: DataFrame, path: str) -> DataFrame:
     ``payload`` of a revisit is null: its bytes are those of the record it refers to.
     """
     tasks = max(1, index.select("file").distinct().count())
-    rows = index.select("file", "offset", "length", "url").repartition(tasks, "file").sortWithinPartitions("file", "offset")
+    number = F.pmod(F.regexp_extract("file", r"part-(\d+)", 1).cast("int"), F.lit(tasks))  # a file a task where the index is whole
+    rows = index.select("file", "offset", "length", "url").repartitionById(tasks, number).sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = open_fs(path)
