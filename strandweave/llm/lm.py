@@ -4,7 +4,7 @@ Bigram, unigram and uniform estimates are mixed with weights for each bucket of
 frequency; the weights come from expectation-maximisation on a fold of the training texts, whose
 counts are taken out of the estimates for that purpose.
 
-Texts are taken in blocks of about ``TOKENS`` tokens. A block keeps its distinct word and bigram
+Texts are taken in blocks of about ``TOKENS`` tokens or more. A block keeps its distinct word and bigram
 hashes once, sorted, with counts; slices of the hash space go to reducers as packed arrays (not
 as a row for each n-gram). A reducer sums its slice over all blocks and answers every block with
 the corpus counts of that block's own n-grams, in order. The texts' packed tokens wait in a file a
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import materialize, new_file, open_fs, pack, release, shared_dir, tidied, unpack
 from .ngram_join import _STEP, _Powers, mix
 
-#: Tokens of a block, and UTF-8 bytes of text for each slice of the hash space.
-TOKENS, SLICE_BYTES = 800_000, 24 << 20
+#: Tokens of a block, and UTF-8 bytes of text for each slice of the hash space, up to ``STEADY`` bytes of
+#: text; beyond, both grow with the square root of the text, so that the pieces (a block's share of a
+#: slice) grow in proportion to it. A task needs about 60 bytes for each token of its block.
+TOKENS, SLICE_BYTES, STEADY = 800_000, 24 << 20, 30 << 30
 #: A bigram's hash has so many bits beyond those that number the corpus's tokens: two bigrams of a
 #: corpus share a hash with a chance of about 2 ** -SPARE_BITS. Word hashes keep all 64 bits.
 SPARE_BITS = 22
@@ -104,7 +106,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["block", "slice", "doc_ids", "buckets", "lengths", "payload"])
 
 
-def _blocks(slices: int, bits: int, path: str):
+def _blocks(slices: int, bits: int, path: str, tokens: int):
     """Rows of all blocks. A block's texts go to a file below ``path``, their row holds its name."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +126,7 @@ def _blocks(slices: int, bits: int, path: str):
                 key = doc.as_py()
                 docs.append((key, zlib.crc32(b"" if key is None else str(key).encode()) % 10, tokens_of(text.as_py() or "")))
                 size += len(docs[-1][2])
-                if size >= TOKENS:
+                if size >= tokens:
                     yield rows()
                     docs, size, number = [], 0, number + 1
         if docs:
@@ -253,10 +255,11 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(4, math.ceil(total / SLICE_BYTES))
+    scale = math.sqrt(max(1.0, total / STEADY))
+    slices = max(4, math.ceil(total / (SLICE_BYTES * scale)))
     bits = min(64, max(1, total // 4).bit_length() + SPARE_BITS)
     path = shared_dir(df.sparkSession, "lm-texts")
-    asked = rows.mapInArrow(_blocks(slices, bits, path), BLOCK).repartitionById(slices, F.when(F.col("slice") < 0, -1 - F.col("slice")).otherwise(F.col("slice")))
+    asked = rows.mapInArrow(_blocks(slices, bits, path, int(TOKENS * scale)), BLOCK).repartitionById(slices, F.when(F.col("slice") < 0, -1 - F.col("slice")).otherwise(F.col("slice")))
     asked = asked.sortWithinPartitions("slice", "block")
     answers = materialize(asked.mapInArrow(_answer, BLOCK), "lm-counts")
     del asked
