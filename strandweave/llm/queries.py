@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, table
+from .common import id_bucket, scope, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,7 +24,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import THRESHOLD, ToxicityModel
 
     docs = table(spark, sf_dir, "documents")
-    model = ToxicityModel.fit(ToxicityModel.training_rows(docs, table(spark, sf_dir, "labels")))
+    with scope(spark, "toxicity"):
+        model = ToxicityModel.fit(ToxicityModel.training_rows(docs, table(spark, sf_dir, "labels")))
     return model.score(docs.select("doc_id", "text")).select(
         "doc_id", (id_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
