@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 K = 10
-#: Entries and query codes of a block, at most about; entries of a block that is cut to give every core work.
-ENTRIES, QUERIES, LEAST = 1 << 18, 1 << 16, 2048
+#: Entries and query codes of a block, at most about; query codes of a block that is cut to give every core work.
+ENTRIES, QUERIES, LEAST = 1 << 18, 1 << 16, 128
 
 
 def sign_codes(vectors: list[list[float] | None], dims: int) -> list[bytes | None]:
@@ -195,12 +195,10 @@ def _search(k: int, dims: int):
 def blocks_of(entries: int, queries: int, tasks: int) -> tuple[int, int]:
     """(entry blocks, query blocks): bounded ones, and so many groups that ``tasks`` have work.
 
-    A query code is a few bytes and an entry has its ids, so entries are cut further before queries are.
+    A search costs more than its share in a smaller block of entries, so it is the queries that are cut further.
     """
-    e, q = max(1, math.ceil(entries / ENTRIES)), max(1, math.ceil(queries / QUERIES))
-    if e * q < tasks:
-        e = max(e, min(math.ceil(tasks / q), math.ceil(entries / LEAST)))
-    return e, q
+    e = max(1, math.ceil(entries / ENTRIES))
+    return e, max(1, math.ceil(queries / QUERIES), min(math.ceil(tasks / e), math.ceil(queries / LEAST)))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -223,7 +221,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec
     entries = materialize(smallest.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     asked = materialize(coded(queries), "query-codes")
     distinct = materialize(asked.select("code").distinct(), "query-classes")
-    eb, qb = blocks_of(entries.count(), distinct.count(), 3 * spark.sparkContext.defaultParallelism)
+    eb, qb = blocks_of(entries.count(), distinct.count(), 2 * spark.sparkContext.defaultParallelism)
     block = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = entries.select(every(qb).alias("q"), block(eb).alias("e"), F.lit(False).alias("asks"), "code", "ids")

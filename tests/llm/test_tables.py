@@ -70,8 +70,8 @@ def test_top_k_is_exact(spark, dims, n, k, monkeypatch):
 
 
 def test_blocks_give_every_core_work():
-    assert hamming.blocks_of(50_000, 2_500, 24) == (24, 1)
-    assert hamming.blocks_of(3_000, 100, 24) == (2, 1)
+    assert hamming.blocks_of(50_000, 2_500, 12) == (1, 12)
+    assert hamming.blocks_of(3_000, 300, 12) == (1, 3)
     e, q = hamming.blocks_of(10**8, 5 * 10**6, 2000)
     assert 10**8 / e <= hamming.ENTRIES and 5 * 10**6 / q <= hamming.QUERIES and q < 80
     assert hamming.blocks_of(0, 0, 8) == (1, 1)
