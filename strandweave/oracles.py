@@ -79,7 +79,7 @@ RAW = """
     walk AS (SELECT read_ordinal, p FROM n WHERE p = 0
              UNION ALL SELECT n.read_ordinal, n.p FROM walk w LEFT JOIN jump u ON u.read_ordinal = w.read_ordinal AND u.p = w.p JOIN n ON n.read_ordinal = w.read_ordinal AND n.p = coalesce(u.q + 2, w.p + 1)),
     kept AS (SELECT read_ordinal, p FROM walk UNION ALL SELECT read_ordinal, q + 1 FROM walk JOIN jump USING (read_ordinal, p)),
-    raw AS (SELECT read_ordinal, read_name, row_number() OVER w - 1 AS block_idx, monomer, "start", "end", CAST(score AS FLOAT) AS score,
+    raw AS (SELECT read_ordinal, read_name, CAST(row_number() OVER w - 1 AS INTEGER) AS block_idx, monomer, "start", "end", CAST(score AS FLOAT) AS score,
                    "start" - lag("end", 1, 0) OVER w AS gap, "end" - "start" AS span, substr(r.seq, "start" + 1, "end" - "start" + 1) AS segment
             FROM kept JOIN n USING (read_ordinal, p) JOIN r USING (read_ordinal) WINDOW w AS (PARTITION BY read_ordinal ORDER BY p))"""
 
