@@ -62,9 +62,9 @@ def monomers_of(spark: SparkSession, sf_dir: str, total: bool = False) -> DataFr
     return rows.select((F.row_number().over(W.orderBy("name")) - 1).alias("ordinal"), "name", "seq")
 
 
-def _strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _strands(spark: SparkSession, sf_dir: str, total: bool = True) -> DataFrame:
     """Both strands of the word monomers, as a small table of a checked size."""
-    strands = both_strands(monomers_of(spark, sf_dir, total=True))
+    strands = both_strands(monomers_of(spark, sf_dir, total))
     return spark.createDataFrame(collect_checked(strands, OPTIONS.max_monomers), strands.schema)
 
 
@@ -171,8 +171,8 @@ def _item_chunks(spark, sf_dir):
     return chunk_reads(item_reads(spark, sf_dir), ITEM_PART, ITEM_OVERLAP)
 
 
-def _order(spark, sf_dir):
-    return collect_checked(both_strands(monomers_of(spark, sf_dir, total=True)), OPTIONS.max_monomers)
+def _order(spark, sf_dir, total=True):
+    return collect_checked(both_strands(monomers_of(spark, sf_dir, total)), OPTIONS.max_monomers)
 
 
 def _items(spark, sf_dir, **options):
@@ -251,13 +251,13 @@ def reliability_filter(spark, sf_dir):
 def infix_distance(spark, sf_dir):
     """Least distance of every monomer strand to each chunk of the documents: the pairs that candidate pruning looks at."""
     chunks = chunk_reads(reads_of(spark, sf_dir), PART_SIZE, OVERLAP)
-    strands = F.broadcast(_strands(spark, sf_dir).select("dp_ordinal", "seq"))
+    strands = F.broadcast(_strands(spark, sf_dir, total=False).select("dp_ordinal", "seq"))
     return chunks.crossJoin(strands).select("read_ordinal", "chunk_idx", "dp_ordinal", A.infix_distance(F.col("seq"), F.col("chunk_seq")).alias("distance"))
 
 
 def candidate_monomers(spark, sf_dir):
     """Of each chunk of the documents the nearest strand and all within the threshold, in tie order."""
-    return segmentation.candidate_monomers(chunk_reads(reads_of(spark, sf_dir), PART_SIZE, OVERLAP), _order(spark, sf_dir), ED_THR)
+    return segmentation.candidate_monomers(chunk_reads(reads_of(spark, sf_dir), PART_SIZE, OVERLAP), _order(spark, sf_dir, total=False), ED_THR)
 
 
 def _decomposed(spark, sf_dir, monomers=monomers_of, **options):
