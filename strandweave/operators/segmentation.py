@@ -69,7 +69,9 @@ def segment_chunks(chunks: DataFrame, monomers: list, scoring: Scoring, ed_thr:
                 yield _table(rows, BLOCKS)
 
     wanted = chunks.select("read_ordinal", "read_name", "chunk_idx", "chunk_offset", "chunk_seq")
-    return wanted.repartition("read_ordinal", "chunk_idx").mapInArrow(run, BLOCKS)
+    # a set number, since chunks are small beside their work and would be gathered into few tasks
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return wanted.repartition(tasks, "read_ordinal", "chunk_idx").mapInArrow(run, BLOCKS)
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "float": pa.float32()}
