@@ -127,6 +127,82 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "copy_id", "n_links", "n_text_links")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import count_words, variant_groups
+
+    return variant_groups(count_words(table(spark, sf_dir, "documents")))
+
+
+#: Checksums of strings (``id``, ``bytes``: hexadecimal digits) as a relation (id, crc).
+CRC_SQL = """
+    crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+    {name} AS (SELECT id, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(bytes, '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                                  lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS crc FROM ({rows}), crc_table)"""
+
+#: Near words share a word with one letter out, or one is the other with one letter out.
+OP11_SQL = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+     FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+    keyed AS (SELECT row_number() OVER () AS id, *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes FROM runs WHERE length(run) >= 6),
+    {CRC_SQL.format(name="crcs", rows="SELECT id, bytes FROM keyed")},
+    results AS (SELECT CASE WHEN crc % 199 = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, c FROM keyed JOIN crcs USING (id)),
+    words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+    outs AS (SELECT word, n, k, left(word, k - 1) || substr(word, k + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM words)),
+    pairs AS (SELECT DISTINCT * FROM (
+        SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM outs a JOIN outs b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+        UNION ALL SELECT a.word, a.n, b.word, b.n FROM outs a JOIN words b ON a.rest = b.word
+        UNION ALL SELECT b.word, b.n, a.word, a.n FROM outs a JOIN words b ON a.rest = b.word)),
+    nears AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+    forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM words LEFT JOIN nears USING (word)),
+    chain AS (SELECT word, coalesce(form, word) AS root, form IS NULL AS ended FROM forms
+              UNION ALL SELECT c.word, coalesce(f.form, c.root), f.form IS NULL FROM chain c JOIN forms f ON f.word = c.root WHERE NOT c.ended)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word) WHERE ended
+"""
+
+
+def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
+#: A key jumps from shard count to shard count while the next one is not beyond 8, then 9; products wrap at 64 bits.
+OP12_SQL = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS bytes, CAST('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS HUGEINT) AS key FROM documents),
+    {CRC_SQL.format(name="crcs", rows="SELECT id, bytes FROM docs")},
+    jumps AS (SELECT id, key, CAST(-1 AS BIGINT) AS place, CAST(0 AS BIGINT) AS ahead FROM docs
+              UNION ALL SELECT id, k, ahead, CAST(trunc((ahead + 1) * (2147483648.0::DOUBLE / ((k // 8589934592) + 1)::DOUBLE)) AS BIGINT)
+              FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM jumps WHERE ahead < 9)),
+    placed AS (SELECT id, max(CASE WHEN place < 8 THEN place END) AS shard, max(CASE WHEN place < 9 THEN place END) AS grown FROM jumps GROUP BY id),
+    rows AS (SELECT doc_id, length(bytes) // 2 + 1 AS size, crc AS text_crc32, CAST(shard AS INTEGER) AS shard, CAST(grown AS INTEGER) AS grown_shard FROM docs JOIN placed USING (id) JOIN crcs USING (id))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM rows
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_in_middle, restored
+
+    docs, name = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = docs.select("doc_id", f"{name}.*")
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM documents),
+     h AS (SELECT *, len(tokens) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(hash, 8 * k + 1, 8) AS BIGINT)) AS h FROM d),
+     f AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+     p AS (SELECT *, array_to_string(tokens[1 : a], '') AS prefix, array_to_string(tokens[a + 1 : b], '') AS middle, array_to_string(tokens[b + 1 :], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
@@ -138,9 +214,15 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_hamming_top_k": op9_hamming_top_k,
     "op10_ngram_join": op10_ngram_join,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_jump_shards": op12_jump_shards,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op4_warc": OP4_SQL,
     "op9_hamming_top_k": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_jump_shards": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
