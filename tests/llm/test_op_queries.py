@@ -36,7 +36,7 @@ def crc(value, n):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, data).toPandas()[list(want.columns)]
