@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import kernels
+from . import kernels, lanes
 
 _INTS = T.ArrayType(T.IntegerType())
 ALIGNMENT = T.StructType(
@@ -31,11 +32,10 @@ def aligner(mode: str = "NW", task: str = "DISTANCE", k: int = -1, equalities: l
 
     @F.arrow_udf(ALIGNMENT)
     def align(queries: pa.Array, targets: pa.Array) -> pa.Array:
-        rows = [
-            None if q is None or t is None else kernels.align(q, t, mode, task, k, list(equalities), extended)
-            for q, t in zip(queries.to_pylist(), targets.to_pylist())
-        ]
-        return pa.array(rows, _ARROW)
+        pairs = list(zip(queries.to_pylist(), targets.to_pylist()))
+        distinct = list(dict.fromkeys(p for p in pairs if None not in p))
+        found = dict(zip(distinct, lanes.align_many(distinct, mode, task, k, list(equalities), extended)))
+        return pa.array([found.get(p) for p in pairs], _ARROW)
 
     return align
 
@@ -81,13 +81,14 @@ def identity_of(found):
 @F.arrow_udf(T.IntegerType())
 def infix_distance(queries: pa.Array, targets: pa.Array) -> pa.Array:
     """Least distance of a query to a substring of its target."""
-    qs, ts = queries.to_pylist(), targets.to_pylist()
-    distinct_q, distinct_t = list(dict.fromkeys(q for q in qs if q is not None)), list(dict.fromkeys(t for t in ts if t is not None))
-    if len(distinct_q) * len(distinct_t) > 4 * len(qs):  # few of the combinations are asked for
-        return pa.array([None if q is None or t is None else kernels.infix_distances([q], [t])[0][0] for q, t in zip(qs, ts)], pa.int32())
-    table = kernels.infix_distances(distinct_q, distinct_t) if distinct_q else []
-    place_q, place_t = {q: i for i, q in enumerate(distinct_q)}, {t: i for i, t in enumerate(distinct_t)}
-    return pa.array([None if q is None or t is None else table[place_t[t]][place_q[q]] for q, t in zip(qs, ts)], pa.int32())
+    pairs = list(zip(queries.to_pylist(), targets.to_pylist()))
+    whole = [p for p in pairs if None not in p]
+    qs, asked = {q: i for i, q in enumerate(dict.fromkeys(q for q, _ in whole))}, {}
+    for q, t in dict.fromkeys(whole):
+        asked.setdefault(t, []).append(qs[q])
+    table = lanes.Queries(list(qs)).infix_distances(list(asked), only=[np.array(x) for x in asked.values()])
+    found = dict(zip(asked, table))
+    return pa.array([None if None in p else found[p[1]][qs[p[0]]] for p in pairs], pa.int32())
 
 
 def register(spark: SparkSession) -> None:

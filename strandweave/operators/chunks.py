@@ -2,25 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CHUNKS = "read_ordinal long, read_name string, chunk_idx int, chunk_offset long, chunk_seq string"
+#: Characters of chunks that are handed on together.
+TOGETHER = 4 << 20
 
-def chunk_reads(reads: DataFrame, part_size: int = 5000, overlap: int = 500) -> DataFrame:
-    """(read_ordinal, read_name, seq) -> one row per chunk, with its place in the read.
 
+def cut_up(pieces, part_size: int, overlap: int, offset: int = 0) -> Iterator[tuple[int, int, bytes]]:
+    """(index, offset, chunk) of one read that comes in pieces, those chunks that start in its own part.
+
+    pieces: (bytes, own). The read goes on at ``offset``; pieces that are not own only complete chunks.
     Offsets are multiples of ``part_size``; a chunk is kept if ``overlap`` characters are left or the
-    read is shorter than that. Cutting works on bytes and inside one expression, so no row holds a whole
-    read beside a chunk, and a long read costs its length (and its overlaps).
+    read is shorter than that. No more than a piece and a chunk are held.
     """
-    size, whole = F.length("seq"), F.col("seq").cast("binary")
-    offsets = F.filter(F.sequence(F.lit(0), size - 1, F.lit(part_size)), lambda o: (size - o >= overlap) | (size < overlap))
-    cut = F.transform(
-        offsets,
-        lambda o, k: F.struct(k.alias("idx"), o.alias("offset"), F.substring(whole, o + 1, F.lit(part_size + overlap)).cast("string").alias("seq")),
-    )
-    rows = reads.where(size > 0).select("read_ordinal", "read_name", F.explode(cut).alias("chunk"))
-    return rows.select("read_ordinal", "read_name", *[F.col(f"chunk.{c}").alias(f"chunk_{c}") for c in ("idx", "offset", "seq")])
+    start = -(-offset // part_size) * part_size
+    held, base, end, own_end = b"", offset, offset, None
+    for piece, own in pieces:
+        if not own and own_end is None:
+            own_end = end
+        if own_end is not None and start >= own_end:
+            return
+        end += len(piece)
+        held = held[max(0, start - base) :] + piece if start < end else b""
+        base = end - len(held)
+        while end - start >= part_size + overlap and (own_end is None or start < own_end):
+            yield start // part_size, start, held[start - base : start - base + part_size + overlap]
+            start += part_size
+    while start < (end if own_end is None else own_end):
+        if end - start >= overlap or end < overlap:
+            yield start // part_size, start, held[start - base : start - base + part_size + overlap]
+        start += part_size
+
+
+def chunk_batches(rows: Iterator[tuple[int, str, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``CHUNKS`` in batches of a bounded size."""
+    fields = [x.split() for x in CHUNKS.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    out, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        *first, seqs = zip(*out)
+        columns = [pa.array(c, kinds[t]) for c, (_, t) in zip(first, fields)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(seqs, pa.binary()).cast(pa.string())], names=[f for f, _ in fields])
+
+    for row in rows:
+        out.append(row)
+        size += len(row[-1])
+        if size > TOGETHER or len(out) >= 10_000:
+            yield batch()
+            out, size = [], 0
+    if out:
+        yield batch()
+
+
+def chunk_reads(reads: DataFrame, part_size: int = 5000, overlap: int = 500) -> DataFrame:
+    """(read_ordinal, read_name, seq) -> one row per chunk, with its place in the read; see ``cut_up``.
+
+    Each read is sliced once, so it costs its length and its overlaps. A read that one row can't hold
+    (2 GB), or that many tasks should share, comes in chunks from ``sources.fasta.read_fasta_chunks``.
+    Sequences are ASCII; reads that are null or empty have no chunks.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for ordinal, name, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    yield from ((ordinal, name, *c) for c in cut_up([(seq.as_buffer().to_pybytes(), True)], part_size, overlap))
+
+        return chunk_batches(rows())
+
+    named = reads.where(F.octet_length("seq") > 0).select(F.col("read_ordinal").cast("long"), F.col("read_name").cast("string"), "seq")
+    return named.mapInArrow(cut, CHUNKS)
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:

@@ -185,8 +185,7 @@ def _wide(df):
 
 def item_infix_distance(spark, sf_dir):
     """Every chunk of the items against every strand."""
-    pairs = _item_chunks(spark, sf_dir).crossJoin(F.broadcast(_strands(spark, sf_dir).select("dp_ordinal", "seq")))
-    return pairs.select("read_ordinal", "chunk_idx", "dp_ordinal", A.infix_distance(F.col("seq"), F.col("chunk_seq")).alias("distance"))
+    return segmentation.monomer_distances(_item_chunks(spark, sf_dir), _order(spark, sf_dir))
 
 
 def item_candidates(spark, sf_dir):
@@ -250,9 +249,7 @@ def reliability_filter(spark, sf_dir):
 
 def infix_distance(spark, sf_dir):
     """Least distance of every monomer strand to each chunk of the documents: the pairs that candidate pruning looks at."""
-    chunks = chunk_reads(reads_of(spark, sf_dir), PART_SIZE, OVERLAP)
-    strands = F.broadcast(_strands(spark, sf_dir, total=False).select("dp_ordinal", "seq"))
-    return chunks.crossJoin(strands).select("read_ordinal", "chunk_idx", "dp_ordinal", A.infix_distance(F.col("seq"), F.col("chunk_seq")).alias("distance"))
+    return segmentation.monomer_distances(chunk_reads(reads_of(spark, sf_dir), PART_SIZE, OVERLAP), _order(spark, sf_dir, total=False))
 
 
 def candidate_monomers(spark, sf_dir):

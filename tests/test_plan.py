@@ -3,13 +3,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from strandweave.functions import sequences as S
-from strandweave.operators import align
+from strandweave.operators import align, segmentation
 from strandweave.operators.chunks import chunk_reads
 from strandweave.operators.monomers import both_strands
 from strandweave.params import Options, Scoring
 from strandweave.plans.decompose import decompose
 from strandweave.sources import tsv
-from strandweave.sources.fasta import as_monomers, as_reads, read_fasta, read_fasta_text
+from strandweave.sources.fasta import as_monomers, as_reads, fasta_names, fasta_summaries, read_fasta, read_fasta_chunks, read_fasta_text, write_fasta
 from strandweave.streaming.reads import decompose_stream
 from tests import plain
 
@@ -158,9 +158,11 @@ def test_command_line(spark, tmp_path):
     assert cli.FINISHED not in log.read_text()
     cli.main([*args, "--upper"])
     assert cli.FINISHED in log.read_text().splitlines()[-1]
-    lines = {n: sorted(x for f in (tmp_path / "out" / n).glob("part-*") for x in f.read_text().splitlines()) for n in ("t_raw.tsv", "t.tsv", "t_alt.tsv")}
-    assert lines["t_raw.tsv"] == sorted(["r1\tm1'\t2\t3\t2.000000\t1\t1", "r1\tm1'\t6\t7\t2.000000\t1\t1", "r1\tm1\t0\t1\t2.000000\t0\t1", "r1\tm1\t4\t5\t2.000000\t1\t1", "r2\tm1\t0\t1\t2.000000\t0\t1"])
+    lines = {n: (tmp_path / "out" / n).read_text().splitlines() for n in ("t_raw.tsv", "t.tsv", "t_alt.tsv")}
+    assert sorted(lines["t_raw.tsv"]) == sorted(["r1\tm1'\t2\t3\t2.000000\t1\t1", "r1\tm1'\t6\t7\t2.000000\t1\t1", "r1\tm1\t0\t1\t2.000000\t0\t1", "r1\tm1\t4\t5\t2.000000\t1\t1", "r2\tm1\t0\t1\t2.000000\t0\t1"])
+    assert [x.split("\t")[:1] + x.split("\t")[2:4] for x in lines["t_raw.tsv"]] == [["r1", "0", "1"], ["r1", "2", "3"], ["r1", "4", "5"], ["r1", "6", "7"], ["r2", "0", "1"]]
     assert len(lines["t.tsv"]) == 5 and len(lines["t_alt.tsv"]) == 10
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")) == sorted(["t_raw.tsv", "t.tsv", "t_alt.tsv", cli.LOG])
 
 
 def test_plans_segment_once_and_score_in_place(spark):
@@ -170,9 +172,128 @@ def test_plans_segment_once_and_score_in_place(spark):
     found.blocks.unpersist()
     found = decompose(reads(spark, "ACGT" * 9), monomers(spark, m1="AC", m2="GGT"), Options(second_best=True))
     physical = found.final._jdf.queryExecution().executedPlan().toString()
-    assert physical.count("Exchange ") == 2 and "Join" not in physical and "Aggregate" not in physical
-    chunked = chunk_reads(reads(spark, "ACGT" * 9), 5, 2)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Generate explode(transform(filter(" in chunked and "unrequiredChildIndex" not in chunked.replace("[2]", "")
+    # chunks are dealt once, their blocks once for both passes of the fold; only the runs' entries are joined
+    assert physical.count("Join") == 1 and "Aggregate" not in physical
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        reused = decompose(reads(spark, "ACGT" * 9), monomers(spark, m1="AC", m2="GGT"), Options(second_best=True)).final._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "ReusedExchange" in reused
+    final = found.final.collect()  # a stage for each exchange that runs: the adaptive plan reuses it as well
+    after = found.final._jdf.queryExecution().executedPlan().toString()
+    assert final and ("ReusedExchange" in after or "ReusedExchange" in reused)
+
+
+def test_chunking_costs_the_length(spark):
+    """Twice the read takes about twice the time, and no chunk is lost."""
+    import time
+
+    took = []
+    chunk_reads(reads(spark, "ACGT" * 1000)).count()
+    for size in (8 << 20, 16 << 20, 32 << 20):
+        spark.createDataFrame([(0, "r", size)], "read_ordinal long, read_name string, n long").selectExpr("read_ordinal", "read_name", "repeat('ACGT', cast(n / 4 as int)) seq").createOrReplaceTempView("long_read")
+        began = time.time()
+        row = chunk_reads(spark.table("long_read")).selectExpr("count(*) n", "sum(length(chunk_seq)) s", "max(chunk_offset) o").first()
+        took.append(time.time() - began)
+        assert row["n"] == sum(1 for o in range(0, size, 5000) if size - o >= 500) and row["o"] == (row["n"] - 1) * 5000
+        assert row["s"] == sum(min(5500, size - o) for o in range(0, size, 5000) if size - o >= 500)
+    assert took[1] < 3 * took[0] + 1 and took[2] < 3 * took[1] + 1 and took[2] < 15
+
+
+def test_fasta_chunks_equal_chunked_records(spark, tmp_path):
+    import random
+
+    r = random.Random(9)
+    (tmp_path / "in").mkdir()
+    text = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    wrapped = lambda s, w, end: end.join(s[i : i + w] for i in range(0, len(s), w)) + end
+    files = [
+        "".join(f">{'n' * r.randrange(1, 30)}{k} about it\n" + wrapped(text(r.randrange(0, 90)), r.choice((7, 20)), "\n") for k in range(6)),
+        "\n\n>one line, and long\n" + text(400) + "\n>x\r\n" + wrapped(text(75), 9, "\r\n") + ">none\n>last\n" + text(33),
+        ">" + "h" * 50 + "\n" + wrapped(text(200), 60, "\n"),
+    ]
+    for k, f in enumerate(files):
+        (tmp_path / "in" / f"{k}.fa").write_bytes(f.encode())
+    path = str(tmp_path / "in")
+    whole = read_fasta(spark, path).collect()
+    assert read_fasta(spark, path).count() == 11
+    key = lambda df: sorted(tuple(x) for x in df.collect())
+    for part, overlap in ((10, 4), (25, 40), (1000, 10)):
+        want = key(chunk_reads(as_reads(read_fasta(spark, path)), part, overlap))
+        for size in (13, 64, 10_000) if part == 10 else (41,):
+            assert key(read_fasta_chunks(spark, path, part, overlap, size)) == want, (part, size)
+    for size in (37, 64):
+        assert key(fasta_names(spark, path, size)) == sorted((x["ordinal"], x["name"]) for x in whole)
+    assert fasta_summaries(spark, path).agg(F.sum("total")).first()[0] == sum(len(x["seq"]) for x in whole)
+    (tmp_path / "bad.fa").write_text("\nACGT\n>a\nA\n")
+    with pytest.raises(PySparkException):
+        read_fasta_chunks(spark, str(tmp_path / "bad.fa"), 10, 2, 3).collect()
+    (tmp_path / "empty.fa").write_text("")
+    assert read_fasta_chunks(spark, str(tmp_path / "empty.fa")).collect() == []
+    write_fasta(as_reads(read_fasta(spark, path)), str(tmp_path / "back"), 11)
+    assert sorted((x["name"], x["seq"]) for x in read_fasta(spark, str(tmp_path / "back")).collect()) == sorted((x["name"], x["seq"]) for x in whole)
+
+
+def test_a_long_record_is_cut_by_many_tasks(spark, tmp_path):
+    import time
+
+    line = "ACGTTGCAGT" * 6 + "\n"
+    (tmp_path / "long.fa").write_text(">contig one\n" + line * 700_000)  # 42 MB of bases
+    began = time.time()
+    chunks = read_fasta_chunks(spark, str(tmp_path / "long.fa"), split_bytes=4 << 20)
+    row = chunks.withColumn("task", F.spark_partition_id()).agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks"), F.sum(F.length("chunk_seq")).alias("s")).first()
+    took = time.time() - began
+    size = 42_000_000
+    assert (row["n"], row["tasks"]) == (size // 5000, 11) and row["s"] == sum(min(5500, size - o) for o in range(0, size, 5000)) and took < 30
+
+
+def test_one_read_is_folded_in_many_tasks(spark):
+    import random
+
+    r = random.Random(2)
+    rows, at = [], 0
+    for chunk in range(90):
+        for block in range(r.choice((1, 1, 2, 5, 9))):
+            start = max(0, at - r.choice((0, 0, 0, 3, 9, 20)))
+            at = start + r.randrange(1, 12)
+            rows.append((0, "r", chunk, block, "m", start, at, 1.0, f"s{len(rows)}"))
+    short = [(7, "q", 0, 0, "m", 0, 9, 1.0, "a"), (7, "q", 0, 1, "m", 2, 4, 1.0, "b"), (7, "q", 0, 2, "m", 10, 12, 1.0, "c")]
+    blocks = spark.createDataFrame(rows + short, segmentation.BLOCKS).repartition(5)
+    kept = plain.fold([x[5:7] for x in rows])
+    for run_chunks in (6, 7, 30, 256):
+        got = sorted((tuple(x) for x in segmentation.drop_overlaps(blocks, run_chunks).collect()), key=lambda x: (x[0], x[2]))
+        own = [x for x in got if x[0] == 0]
+        assert [x[4:6] for x in own] == kept and [x[2] for x in own] == list(range(len(kept)))
+        assert [x[8] for x in own] == [0, *(b for _, b in kept[:-1])]
+        left = iter(rows)
+        assert all(any(x[7] == y[8] and x[4:6] == y[5:7] for y in left) for x in own)  # with their own segments, in order
+        assert [(x[4], x[5], x[8]) for x in got if x[0] == 7] == [(0, 9, 0), (10, 12, 9)]
+    with pytest.raises(ValueError):
+        segmentation.drop_overlaps(blocks, 5)
+
+
+def test_tsv_is_one_file_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 7).selectExpr("3000 - id read_ordinal", "id % 3 block_idx", "concat('r', id) name", "id * id square").orderBy(F.rand(3))
+    for _ in range(2):  # and replaces what is there
+        tsv.write_tsv_file(rows, str(tmp_path / "out.tsv"))
+    want = "".join(f"r{i}\t{i * i}\n" for i in range(2999, -1, -1))
+    assert (tmp_path / "out.tsv").read_text() == want
+    tsv.write_tsv_file(rows.where("false"), str(tmp_path / "none.tsv"))
+    assert (tmp_path / "none.tsv").read_text() == ""
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["none.tsv", "out.tsv"]
+
+
+def test_chosen_monomers_decide_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(segmentation, "LEAST_CELLS", 1)
+    monkeypatch.setattr(segmentation, "TASK_CELLS", 5_000)
+    chunks = chunk_reads(reads(spark, "ACGTTGCA" * 400, "GATTACA" * 300), 200, 20)
+    monomer = lambda n, s: {"name": n, "seq": s, "dp_ordinal": 0}
+    ms = [monomer("a", "ACGTTGCA"), monomer("b", "GATTACA"), monomer("c", "TTTTTTTTTTTT")]
+    tasks = [segmentation.segment_chunks(chunks, ms, Scoring(), e).rdd.getNumPartitions() for e in (-1, 0)]
+    assert tasks[0] >= 2 * tasks[1] > 2 and segmentation.segment_chunks(chunks, ms, Scoring(), letters=1).rdd.getNumPartitions() == 4
+    own = segmentation.with_candidates(chunks, ms, 0).collect()
+    assert all(r["cells"] == len(r["chunk_seq"]) * sum(len(ms[k]["seq"]) for k in r["chosen"]) for r in own)
 
 
 def test_second_best_equals_a_plain_version(spark):
