@@ -5,7 +5,9 @@ blanks. A stretch of ``WINDOW`` characters (or a whole shorter item) with at mos
 per character keeps at least ``window - q + 1 - q * edits`` of its q-grams, all near one
 diagonal. So shared q-grams are counted in diagonal bands that overlap by half, over sliding
 windows; windows that reach the count become regions. A banded alignment around each region finds
-its longest stretch; a region outside it is verified window by window, by edit distance.
+its longest stretch; a region outside it is verified window by window, by edit distance. Regions
+are taken by what they can give at most, and one that lies within a stretch that already stands is
+left out, so a repeated phrase is aligned on a few of its many diagonals only.
 
 Benchmark items go through in blocks of a bounded size, each against all documents; no join
 and no shuffle takes place.
@@ -13,7 +15,8 @@ and no shuffle takes place.
 Defined results: null and empty texts and items match nothing; an item that is shorter than
 twice q is found where it stands exactly, between word ends; repeated items and rows each
 give their rows; a null id is kept. Texts and items of any length are read whole, in time
-proportional to them. Of stretches of one item that overlap, the one with the most characters
+proportional to them and, where both repeat one phrase, to the number of q-grams that they share
+place by place. Of stretches of one item that overlap, the one with the most characters
 after its edits stays, of equal ones the first in the text; different items may share a stretch.
 Extra columns of the documents are not read. Empty tables give empty results.
 """
@@ -21,6 +24,7 @@ Extra columns of the documents are not read. Empty tables give empty results.
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 import pickle
 import uuid
@@ -158,7 +162,7 @@ def regions(items: Items, points: np.ndarray) -> list[tuple[int, int, int, int,
     band = (diagonal + (1 << 40)) // step
     for shift in (0, 1):  # bands of two steps, overlapping by one
         key = (band + shift) // 2
-        order = np.lexsort((text, key, item))
+        order = np.argsort(item * (1 << 42) + key, kind="stable")  # in text order already
         k, t, i, d = key[order], text[order], item[order], diagonal[order]
         edge = np.flatnonzero((np.diff(k) != 0) | (np.diff(i) != 0)) + 1
         for a, b in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(k)]))):
@@ -303,41 +307,61 @@ def joined_regions(found: list[tuple[int, int, int, int, int]]) -> list[tuple[in
     return out
 
 
-def verified(items: Items, points: np.ndarray) -> list[tuple]:
-    """(item number, text from, text to, item from, item to, edits) of verified stretches, the longest of overlapping ones.
+def stretches(items: Items, points: np.ndarray, region: tuple[int, int, int, int, int]) -> list[tuple]:
+    """(item number, text from, text to, item from, item to, edits) of what a region holds.
 
-    The item's part around a region is aligned in the region's band, for the longest stretch; where
+    The item's part around the region is aligned in the region's band, for the longest stretch; where
     that does not hold the whole region, the region's own windows are compared. Bands have a bounded
-    width, so the work is in proportion to the regions' lengths.
+    width, so the work is in proportion to the region's length.
+    """
+    k, lo, hi, d0, d1 = region
+    item, found = items.points[k], []
+    window, edits, _ = bound(len(item))
+    if d0 == d1 and 0 <= d0 and d0 + len(item) <= len(points) and np.array_equal(points[d0 : d0 + len(item)], item):
+        return [(k, d0, d0 + len(item), 0, len(item), 0)]  # the whole item as it is
+    first = max(0, lo - d1 - edits - window)
+    part = item[first : max(first, hi - d0 + edits + window)]
+    base = max(0, first + d0 - edits)
+    text = points[base : first + len(part) + d1 + edits + 1]
+    got = align(part, text, d0 - edits - base, d1 + edits - base, first)
+    if got is not None:
+        a, b, i, j, e = got
+        if b - a >= window - edits and e <= ERROR * max(b - a, window):
+            found.append((k, base + i, base + j, a, b, e))
+            if base + i <= lo and hi <= base + j:
+                return found
+    return found + [(k, *w) for w in windows_of(item, points, lo, hi, d0, d1)]
+
+
+def verified(items: Items, points: np.ndarray) -> list[tuple]:
+    """``stretches`` of all regions; of an item's overlapping ones that with the most characters after its edits, of equal ones the first in the text.
+
+    Regions and stretches come in the order of what they can give at most (a stretch: what it gives). So
+    the next stretch beats all that follows and stands unless a better one overlaps it; a region within
+    one that stands can only give what overlaps that, and is not aligned.
     """
-    found = []
-    for k, lo, hi, d0, d1 in joined_regions(regions(items, points)):
-        item = items.points[k]
-        window, edits, _ = bound(len(item))
-        if d0 == d1 and 0 <= d0 and d0 + len(item) <= len(points) and np.array_equal(points[d0 : d0 + len(item)], item):
-            found.append((k, d0, d0 + len(item), 0, len(item), 0))  # the whole item as it is
-            continue
-        first = max(0, lo - d1 - edits - window)
-        part = item[first : max(first, hi - d0 + edits + window)]
-        base = max(0, first + d0 - edits)
-        text = points[base : first + len(part) + d1 + edits + 1]
-        got = align(part, text, d0 - edits - base, d1 + edits - base, first)
-        if got is not None:
-            a, b, i, j, e = got
-            if b - a >= window - edits and e <= ERROR * max(b - a, window):
-                found.append((k, base + i, base + j, a, b, e))
-                if base + i <= lo and hi <= base + j:
-                    continue
-        found += [(k, *w) for w in windows_of(item, points, lo, hi, d0, d1)]
     best: list[tuple] = []
-    taken: list[tuple[int, int]] = []  # sorted, of the current item
-    for r in sorted(set(found), key=lambda r: (r[0], r[5] - (r[4] - r[3]), r[1])):
-        if best and best[-1][0] != r[0]:
-            taken = []
-        at = bisect.bisect_left(taken, (r[2],))
-        if not at or taken[at - 1][1] <= r[1]:
-            taken.insert(at, (r[1], r[2]))
-            best.append(r)
+    per_item: dict[int, list[tuple[int, int, int, tuple]]] = {}
+    for r in joined_regions(regions(items, points)):
+        window, edits, _ = bound(len(items.points[r[0]]))
+        per_item.setdefault(r[0], []).append((-(r[2] - r[1] + 2 * (window + edits)), 0, r[1], r))
+    for k in sorted(per_item):
+        heap, taken, seen = per_item[k], [], set()  # taken: sorted places in the text
+        heapq.heapify(heap)
+        while heap:
+            _, is_stretch, _, r = heapq.heappop(heap)
+            if not is_stretch:
+                at = bisect.bisect_right(taken, (r[1], len(points) + 1))
+                if not at or taken[at - 1][1] < r[2]:
+                    for s in stretches(items, points, r):
+                        if s not in seen:
+                            seen.add(s)
+                            heapq.heappush(heap, (s[5] - (s[4] - s[3]), 1, s[1], s))
+                continue
+            at = bisect.bisect_left(taken, (r[2],))
+            if not at or taken[at - 1][1] <= r[1]:
+                taken.insert(at, (r[1], r[2]))
+                best.append(r)
     return best
 
 
