@@ -124,3 +124,30 @@ def test_op7_and_op8_keep_the_fixed_spans(spark, data, docs, name, plain, kinds)
 def test_op10_equals_all_pairs(spark, data, docs):
     got = Counter((r["doc_id"], r["class_id"], r["n_links"], r["n_text_links"]) for r in rows(spark, data, "op10_ngram_join"))
     assert got == _plain_links(list(docs.items()))
+
+
+def test_op1_finds_edited_copies(spark, data, tmp_path):
+    """At query level: items with an edit every 30 to 60 characters, set into other texts, are found; the other texts are not."""
+    import random
+    import shutil
+
+    r = random.Random(8)
+    shutil.copy(f"{data}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    items = [(x["item_id"], x["text"]) for x in spark.read.parquet(f"{data}/benchmark.parquet").collect() if len(x["text"] or "") >= 160]
+    words = lambda n: " ".join("".join(r.choice("bcdfghjklmnp") for _ in range(r.randrange(3, 9))) for _ in range(n))
+    rows, planted = [], set()
+    for k, (item, text) in enumerate(items):
+        out, at = list(text), r.randrange(20, 40)
+        while at < len(out) - 10:
+            out[at : at + r.choice((1, 1, 2))] = r.choice(("x", "", "qz"))
+            at += r.randrange(34, 60)
+        rows.append((k, f"{words(30)} {''.join(out)} {words(30)}", "en", "s", 0))
+        planted.add((k, item))
+    rows += [(1000 + k, words(200), "en", "s", 0) for k in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(x["doc_id"], x["item_id"]) for x in rows_of(spark, tmp_path)}
+    assert len(planted & found) >= 0.95 * len(planted) and not any(d >= 1000 for d, _ in found)
+
+
+def rows_of(spark, folder):
+    return queries.QUERIES["op1_decontaminate"](spark, str(folder)).collect()
