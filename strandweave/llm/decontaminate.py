@@ -336,35 +336,61 @@ def stretches(items: Items, points: np.ndarray, region: tuple[int, int, int, int
 def verified(items: Items, points: np.ndarray) -> list[tuple]:
     """``stretches`` of all regions; of an item's overlapping ones that with the most characters after its edits, of equal ones the first in the text.
 
-    Regions and stretches come in the order of what they can give at most (a stretch: what it gives). So
-    the next stretch beats all that follows and stands unless a better one overlaps it; a region within
-    one that stands can only give what overlaps that, and is not aligned.
+    Regions and stretches come in the order of what they can give at most (a stretch: what it gives), of
+    equal ones by their place. So the next stretch beats all that follows and stands unless a better one
+    overlaps it. What a region can give shrinks with the part of its text that no stretch covers yet; where
+    less than a window is left, all that it could give overlaps what stands, and it is not aligned.
     """
     best: list[tuple] = []
-    per_item: dict[int, list[tuple[int, int, int, tuple]]] = {}
+    per_item: dict[int, list[tuple]] = {}
     for r in joined_regions(regions(items, points)):
-        window, edits, _ = bound(len(items.points[r[0]]))
-        per_item.setdefault(r[0], []).append((-(r[2] - r[1] + 2 * (window + edits)), 0, r[1], r))
+        per_item.setdefault(r[0], []).append(r)
     for k in sorted(per_item):
-        heap, taken, seen = per_item[k], [], set()  # taken: sorted places in the text
+        size = len(items.points[k])
+        window, edits, _ = bound(size)
+        margin = window + edits
+
+        def key(r: tuple, free: int) -> tuple:
+            most = min(free, size)
+            return -most, r[1] if most == size else r[1] - margin, 0, r  # only a copy without edits gives its whole size
+
+        heap = [key(r, r[2] - r[1] + 2 * margin) for r in per_item[k]]
         heapq.heapify(heap)
+        taken: list[tuple[int, int]] = []  # places in the text, sorted
+        seen = set()
         while heap:
-            _, is_stretch, _, r = heapq.heappop(heap)
-            if not is_stretch:
-                at = bisect.bisect_right(taken, (r[1], len(points) + 1))
-                if not at or taken[at - 1][1] < r[2]:
-                    for s in stretches(items, points, r):
-                        if s not in seen:
-                            seen.add(s)
-                            heapq.heappush(heap, (s[5] - (s[4] - s[3]), 1, s[1], s))
+            most, place, is_stretch, r = heapq.heappop(heap)
+            if is_stretch:
+                at = bisect.bisect_left(taken, (r[2],))
+                if not at or taken[at - 1][1] <= r[1]:
+                    taken.insert(at, (r[1], r[2]))
+                    best.append(r)
+                continue
+            free = _free(taken, r[1], r[2], margin)
+            if free < window - edits:
                 continue
-            at = bisect.bisect_left(taken, (r[2],))
-            if not at or taken[at - 1][1] <= r[1]:
-                taken.insert(at, (r[1], r[2]))
-                best.append(r)
+            if (again := key(r, free))[0] > most:
+                heapq.heappush(heap, again)
+            else:
+                for s in stretches(items, points, r):
+                    if s not in seen:
+                        seen.add(s)
+                        heapq.heappush(heap, (s[5] - (s[4] - s[3]), s[1], 1, s))
     return best
 
 
+def _free(taken: list[tuple[int, int]], lo: int, hi: int, margin: int) -> int:
+    """Length of the longest part outside the sorted, disjoint stretches that reaches into ``lo`` to ``hi``, and beyond by ``margin`` at most."""
+    start, end, longest = lo - margin, hi + margin, 0
+    at = max(0, bisect.bisect_left(taken, (start,)) - 1)
+    while at < len(taken) and taken[at][0] < end and start < hi:
+        if taken[at][0] > lo:
+            longest = max(longest, taken[at][0] - start)
+        start = max(start, taken[at][1])
+        at += 1
+    return max(longest, end - start) if start < hi else longest
+
+
 def _short(items: Items, points: np.ndarray) -> list[tuple]:
     if not items.short:
         return []
