@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,30 @@ def aligner(mode: str = "NW", task: str = "DISTANCE", k: int = -1, equalities: l
     return align
 
 
+def align_to_all(df: DataFrame, text: str, queries: list[tuple[str, str]], mode: str = "NW", task: str = "DISTANCE", k: int = -1, equalities: list[tuple[str, str]] = (), extended: bool = True) -> DataFrame:
+    """Every row of ``df`` with each of ``queries`` (name, sequence; few): its columns but ``text``, ``query`` and ``alignment``.
+
+    One pass over the rows; a text is not repeated for its queries. A null text has null alignments.
+    """
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = T.StructType([*kept, T.StructField("query", T.StringType()), T.StructField("alignment", ALIGNMENT)])
+    names, seqs = [n for n, _ in queries], [s for _, s in queries]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = part.column(text).to_pylist()
+                distinct = [t for t in dict.fromkeys(texts) if t is not None]
+                pairs = [(q, t) for t in distinct for q in seqs]
+                found = dict(zip(pairs, lanes.align_many(pairs, mode, task, k, list(equalities), extended)))
+                rows = pa.array([i for i in range(part.num_rows) for _ in seqs])
+                columns = [part.column(f.name).take(rows) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names * part.num_rows, pa.string()), pa.array([found.get((q, t)) for t in texts for q in seqs], _ARROW)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 #: Results of short pairs that a worker remembers; beyond so many it starts anew.
 REMEMBERED, SHORT = 200_000, 32
 _memory: dict[tuple[str, str], tuple[int, int]] = {}

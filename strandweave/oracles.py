@@ -133,10 +133,10 @@ SCORES = (
 )
 
 
-def traced(pairs: str, first: str, same: str = "q[i + 1] = t[j]") -> str:
-    """Cells of an alignment with the operations of the traced path; ``first`` is the row above, less j."""
+def traced(pairs: str, first: str, same: str = "q[i + 1] = t[j]", name: str = "al", bottom: str = "bottom") -> str:
+    """Cells of an alignment with the operations of the traced path; ``first`` is the row above, less j. Then the last rows."""
     return f"""
-    al AS (
+    {name} AS (
         SELECT pid, q, t, 0 AS i, CAST(k AS INTEGER) AS j, CAST({first} AS INTEGER) AS h, CASE WHEN '{first}' = '0' THEN repeat('D', k) ELSE '' END AS o, CAST(k AS INTEGER) AS a
         FROM (SELECT *, unnest(range(0, length(t) + 1)) AS k FROM {pairs})
         UNION ALL
@@ -149,8 +149,8 @@ def traced(pairs: str, first: str, same: str = "q[i + 1] = t[j]") -> str:
                           FROM (SELECT *, min(CASE WHEN j = 0 THEN h + 1 ELSE least(h + 1, left_h - eq) END) OVER (PARTITION BY pid ORDER BY j) AS v
                                 FROM (SELECT *, CASE WHEN {same} THEN 1 ELSE 0 END AS eq, lag(h) OVER (PARTITION BY pid ORDER BY j) AS left_h,
                                              lag(o) OVER (PARTITION BY pid ORDER BY j) AS left_o, lag(a) OVER (PARTITION BY pid ORDER BY j) AS left_a
-                                      FROM al WHERE i < length(q))))))),
-    bottom AS (SELECT al.*, CAST(h + j AS INTEGER) AS d FROM al WHERE i = length(q))"""
+                                      FROM {name} WHERE i < length(q))))))),
+    {bottom} AS (SELECT {name}.*, CAST(h + j AS INTEGER) AS d FROM {name} WHERE i = length(q))"""
 
 
 STRAND_PAIRS = "sp AS (SELECT row_number() OVER (ORDER BY x.dp_ordinal, y.dp_ordinal) AS pid, x.name AS query, y.name AS target, x.seq AS q, y.seq AS t FROM s x, s y)"

@@ -20,12 +20,15 @@ from .operators.chunks import chunk_counts, chunk_reads, require_unique_names
 from .operators.monomers import both_strands, collect_checked
 from .params import Options
 from .plans.decompose import decompose
-from .sources import tsv
+from .sources import fasta, tsv
+from .sources.scratch import shared_folder
 
 PART_SIZE, OVERLAP, ED_THR = 500, 100, 6
 OPTIONS = Options(part_size=PART_SIZE, overlap=OVERLAP)
 #: Items are short reads, so their chunks are too.
 ITEM_PART, ITEM_OVERLAP = 40, 15
+#: Splits of the FASTA files that queries write, small so that small tables have several.
+FASTA_SPLIT = 1 << 18
 EQUALITIES = [("A", "N"), ("G", "T")]
 
 
@@ -112,6 +115,24 @@ def duplicate_names(spark, sf_dir):
     return found.select(F.col("read_name").alias("source"), F.col("count").alias("occurrences"))
 
 
+def _fasta_folder(spark, sf_dir):
+    """The documents' bases as FASTA files in lines of 60. They stay, since the plan that is returned reads them."""
+    path = shared_folder(spark, "fasta")
+    fasta.write_fasta(reads_of(spark, sf_dir), path)
+    return path
+
+
+def fasta_records(spark, sf_dir):
+    """Records of FASTA files, read by splits."""
+    return fasta.read_fasta(spark, _fasta_folder(spark, sf_dir), FASTA_SPLIT).select(F.col("name").alias("read_name"), "seq")
+
+
+def fasta_chunks(spark, sf_dir):
+    """Chunks of the same files, cut straight from their splits."""
+    found = fasta.read_fasta_chunks(spark, _fasta_folder(spark, sf_dir), PART_SIZE, OVERLAP, FASTA_SPLIT)
+    return found.select("read_name", "chunk_idx", "chunk_offset", "chunk_seq")
+
+
 def _strand_pairs(spark, sf_dir):
     """Every strand with every strand."""
     s = _strands(spark, sf_dir)
@@ -129,12 +150,17 @@ def identity(spark, sf_dir):
     return pairs.select("query", "target", "found.distance", "found.matches", A.identity_of(F.col("found")).alias("identity"))
 
 
+def _operations(cigar: str):
+    """A CIGAR spelled out."""
+    runs = F.transform(F.regexp_extract_all(cigar, F.lit("([0-9]+.)"), F.lit(1)), lambda x: F.repeat(F.right(x, F.lit(1)), F.regexp_extract(x, "[0-9]+", 0).cast("int")))
+    return F.array_join(runs, "")
+
+
 def align_global(spark, sf_dir):
     """Global paths: their operations spelled out from the CIGAR, its length and its matches."""
     pairs = _strand_pairs(spark, sf_dir).withColumn("found", A.aligner("NW", "PATH")(F.col("q"), F.col("t")))
-    runs = F.transform(F.regexp_extract_all("found.cigar", F.lit("([0-9]+.)"), F.lit(1)), lambda x: F.repeat(F.right(x, F.lit(1)), F.regexp_extract(x, "[0-9]+", 0).cast("int")))
     return pairs.select(
-        "query", "target", F.col("found.edit_distance").alias("distance"), F.array_join(runs, "").alias("operations"),
+        "query", "target", F.col("found.edit_distance").alias("distance"), _operations("found.cigar").alias("operations"),
         S.cigar_length(F.col("found.cigar")).alias("columns"), S.cigar_matches(F.col("found.cigar")).alias("matches"),
     )
 
@@ -233,6 +259,22 @@ def item_lines(spark, sf_dir):
     return out
 
 
+def raw_read_back(spark, sf_dir):
+    """The raw table written as one TSV file and read back."""
+    path = f"{shared_folder(spark, 'raw')}/raw.tsv"
+    tsv.write_tsv_file(tsv.raw_lines(_items(spark, sf_dir).raw), path)
+    return tsv.read_raw_tsv(spark, path)
+
+
+def item_paths(spark, sf_dir):
+    """Every item against every word strand as a stretch of it: all ends, their first starts, and the first one's operations."""
+    strands = [(s["name"], s["seq"]) for s in _order(spark, sf_dir, total=False)]
+    items = item_reads(spark, sf_dir).where("seq <> ''").select("read_ordinal", "seq")
+    found = A.align_to_all(items, "seq", strands, "HW", "PATH")
+    at = lambda c: F.array_join(F.transform(f"alignment.{c}", lambda x: x.cast("string")), ",").alias(c)
+    return found.select("read_ordinal", "query", F.col("alignment.edit_distance").alias("distance"), at("end_locations"), at("start_locations"), _operations("alignment.cigar").alias("operations"))
+
+
 def second_best(spark, sf_dir):
     return item_final(spark, sf_dir).select("read_ordinal", "block_idx", "second_best", "second_best_identity")
 
@@ -286,8 +328,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         reads_projection, invalid_symbols, n_content, reverse_complement, monomers_both_strands, homopolymer_compress, chunked_reads,
-        counted_chunks, duplicate_names, edit_distance_nw, identity, align_global, align_infix, align_prefix, align_within, align_equalities,
-        item_infix_distance, item_candidates, item_chunk_blocks, item_raw_blocks, item_pruned_blocks, item_light, item_final, item_alt, item_lines,
+        counted_chunks, fasta_records, fasta_chunks, duplicate_names, edit_distance_nw, identity, align_global, align_infix, align_prefix, align_within, align_equalities,
+        item_infix_distance, item_candidates, item_chunk_blocks, item_raw_blocks, item_pruned_blocks, item_light, item_final, item_alt, item_lines, item_paths, raw_read_back,
         second_best, best_two, reliability_filter, infix_distance, candidate_monomers, raw_blocks, pruned_blocks, light_decomposition,
         final_decomposition, alt_table,
     )
@@ -321,6 +363,8 @@ ORACLES = {
     "homopolymer_compress": f"SELECT read_ordinal, {O.homo('seq')} AS homo_seq FROM ({READS_SQL})",
     "chunked_reads": f"{CHUNKS_SQL} SELECT read_ordinal, chunk_idx, off AS chunk_offset, seq AS chunk_seq FROM c",
     "counted_chunks": f"{CHUNKS_SQL} SELECT read_ordinal, count(*) AS chunks FROM c GROUP BY read_ordinal",
+    "fasta_records": f"SELECT read_name, seq FROM ({READS_SQL})",
+    "fasta_chunks": f"{CHUNKS_SQL} SELECT CAST(read_ordinal AS VARCHAR) AS read_name, chunk_idx, off AS chunk_offset, seq AS chunk_seq FROM c",
     "duplicate_names": "SELECT source, count(*) AS occurrences FROM documents GROUP BY source HAVING count(*) > 1",
     "edit_distance_nw": f"{_PAIRS} SELECT query, target, levenshtein(q, t) AS distance, levenshtein(q, t) AS aligned FROM sp",
     "identity": f"{_PAIRS}, {O.matched('SELECT DISTINCT q, t FROM sp')} SELECT query, target, d AS distance, m AS matches, {O.identity('f')} AS identity FROM sp JOIN nw_found f USING (q, t)",
@@ -341,6 +385,17 @@ ORACLES = {
         SELECT 'raw' AS kind, concat_ws('\t', read_name, monomer, "start", "end", printf('%.6f', CAST(score AS DOUBLE)), gap, span) AS line FROM raw
         UNION ALL SELECT 'final', concat_ws('\t', read_name, monomer, "start", "end", printf('%.2f', identity), second_best, printf('%.2f', second_best_identity), homo_best, printf('%.2f', homo_best_identity), homo_second_best, printf('%.2f', homo_second_best_identity), reliability) FROM final
         UNION ALL SELECT 'alt', concat_ws('\t', read_name, monomer, "start", "end", printf('%.2f', identity), star) FROM alts""",
+    "raw_read_back": f"""{_RAW} SELECT read_name, monomer, "start", "end", CAST(score AS DOUBLE) AS score, gap, span FROM raw""",
+    "item_paths": f"""{_WORDS}, {O.READS},
+        sp AS (SELECT row_number() OVER (ORDER BY read_ordinal, dp_ordinal) AS pid, read_ordinal, s.name AS query, s.seq AS q, r.seq AS t FROM r, s WHERE r.seq <> '' AND s.name NOT LIKE 'all names%'),
+        {O.traced('sp', '-k')},
+        least AS (SELECT *, min(d) OVER (PARTITION BY pid) AS best FROM bottom WHERE j > 0 OR length(q) % 64 <> 0),
+        ends AS (SELECT pid, best, min(j) AS e, min_by(CASE WHEN j > 0 THEN a ELSE 0 END, j) AS b, string_agg(CAST(j - 1 AS VARCHAR), ',' ORDER BY j) AS end_locations,
+                        string_agg(CAST(CASE WHEN j > 0 THEN a ELSE 0 END AS VARCHAR), ',' ORDER BY j) AS start_locations FROM least WHERE d = best GROUP BY pid, best),
+        part AS (SELECT pid, q, substr(t, b + 1, e - b) AS t FROM sp JOIN ends USING (pid)),
+        {O.traced('part', '0', name='al2', bottom='bottom2')}
+        SELECT read_ordinal, query, best AS distance, end_locations, start_locations, o AS operations
+        FROM sp JOIN ends USING (pid) JOIN bottom2 USING (pid) WHERE bottom2.j = length(bottom2.t)""",
     "second_best": f"{_FINAL} SELECT read_ordinal, block_idx, second_best, second_best_identity FROM final",
     "best_two": f"{_FINAL} SELECT read_ordinal, block_idx, homo_best, homo_best_identity, homo_second_best, homo_second_best_identity FROM final",
     "reliability_filter": f"{_FINAL} SELECT read_ordinal, block_idx, identity, reliability FROM final WHERE identity >= 55",
