@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from strandweave.llm import queries, toxicity
 from strandweave.llm.decontaminate import normalize
 from tests.llm.test_tables import _plain_links
-from tests.llm.test_text_ops import _plain_pii, _plain_secrets
+from tests.llm.test_text_ops import _abuse, _plain_pii, _plain_secrets
 from tests.llm.test_tokens import TIKTOKEN, WORDS
 
 
@@ -151,3 +151,98 @@ def test_op1_finds_edited_copies(spark, data, tmp_path):
 
 def rows_of(spark, folder):
     return queries.QUERIES["op1_decontaminate"](spark, str(folder)).collect()
+
+
+def _near(a, b):
+    """At most one edit apart."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[k:] == b[k:] or a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :]
+
+
+def _plain_toxicity(text, terms, innocent, known):
+    """Features of a text by comparing each word with every term."""
+    low = text.lower()
+    found = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W_]+", low)]
+    words = [w for _, _, w in found]
+    for w in set(words) - known.keys():
+        whole = [k for k, (t, full, _) in enumerate(terms) if full and t == w]
+        stems = sorted((k for k, (t, full, _) in enumerate(terms) if not full and w.startswith(t)), key=lambda k: len(terms[k][0]))
+        close = []
+        for k, (t, full, _) in enumerate(terms):
+            reached = _near(w, t) and len(t) >= toxicity.FUZZY if full else len(t) > toxicity.FUZZY and any(_near(w[:n], t) for n in range(max(1, len(t) - 1), min(len(w), len(t) + 1) + 1))
+            if reached and (w[0] == t[0] or len(t) >= toxicity.FIRST or w[0].isdigit()):
+                close.append(k)
+        if whole or stems:
+            known[w] = (whole or stems[::-1])[0], False
+        else:
+            known[w] = (min(close, key=lambda k: (-terms[k][2], k)), True) if close and w not in innocent else None
+    plain = [0.0] * 4
+    address = strongest = count = 0
+    for k, (a, b, w) in enumerate(found):
+        if known[w] is None:
+            continue
+        term, fuzzy = known[w]
+        weight, near = terms[term][2], set(words[max(0, k - 6) : k] + words[k + 1 : k + 7])
+        left, right = low[max(0, a - 80) : a], low[b : b + 80]
+        opened = max((left.rfind(c) for c in "\"“„«‘"), default=-1)
+        quoted = opened >= 0 and any(not set(left[i + 1 :]) & set("\"”»’\n") for i, c in enumerate(left) if c in "\"“„«‘")
+        closing = [i for i, c in enumerate(right) if c in "\"”»’“"]
+        quoted = quoted and any(not set(right[:i]) & set("\"“„«‘\n") for i in closing)
+        quoted = quoted or bool(near & toxicity.REPORT)
+        plain[2 * fuzzy + quoted] += weight
+        if not quoted:
+            address, strongest, count = address + bool(near & toxicity.ADDRESS), max(strongest, weight), count + 1
+    return [*(math.log1p(x) for x in plain), math.log1p(address), strongest, math.log1p(100 * count / max(1, len(words)))]
+
+
+def test_op2_scores_equal_a_comparison_with_every_term(spark, data, docs):
+    import random
+
+    model = toxicity.ToxicityModel.fit(spark.createDataFrame(_abuse([("bligter", 2), ("swinelx", 100)], [("bligter", 11)]), "text string, toxic int"))
+    known, hits, terms, r = {}, 0, model.lexicon.terms, random.Random(6)
+    spelled = ["blighter", "bligter", "1lighter", "xblighter", "blighterz", "rotterhead", "rotterhaed", "swinelx", "swinely", "swine", "you", "said", "word", "plain", '"', "“", "”", "\n"]
+    odd = {-1 - k: " ".join(r.choice(spelled) + r.choice(("", "", ",", '"')) for _ in range(r.randrange(1, 30))) for k in range(300)} | {-1000: ""}
+    texts = {**docs, **odd}
+    got = {r["doc_id"]: r["score"] for r in model.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for d, text in texts.items():
+        x = _plain_toxicity(text, terms, model.lexicon.innocent, known)
+        hits += any(x)
+        z = sum(a * b for a, b in zip(x, model.beta)) + model.beta[-1]
+        assert abs(got[d] - 1 / (1 + math.exp(-max(-40, min(40, z))))) < 1e-6, d
+    assert hits > 200
+
+
+def test_op6_scores_equal_dictionaries(spark, data, docs, monkeypatch):
+    """Counts in dictionaries, mixed by the learned weights; these do better on their fold than equal ones."""
+    from strandweave.llm import lm
+
+    learned = []
+    real = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda *a: learned.append(real(*a)) or learned[-1])
+    got = {r["doc_id"]: r["score"] for r in rows(spark, data, "op6_lm_score")}
+    words = {d: ["<begin>", *re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), "<end> "] for d, t in docs.items()}
+
+    def scores(of, training, weights):
+        single, double = Counter(), Counter()
+        for d in training:
+            single.update(words[d][1:])
+            single["<begin>"] += 1
+            double.update(zip(words[d], words[d][1:]))
+        n = sum(v for w, v in single.items() if w != "<begin>")
+        out = {}
+        for d in of:
+            total = 0.0
+            for a, b in zip(words[d], words[d][1:]):
+                w = weights[min(lm.BUCKETS - 1, int(math.log2(single[a] + 1)))]
+                total += math.log10(w[0] * double[a, b] / max(1, single[a]) + w[1] * single[b] / n + w[2] * uniform)
+            out[d] = total
+        return out
+
+    training = [d for d in docs if crc(d, 10)]
+    uniform = 1 / (len({w for d in training for w in words[d][1:]}) + 1)
+    for d, want in scores(docs, training, learned[0]).items():
+        assert abs(got[d] - want) < 1e-6 * max(1, abs(want)), d
+    fold, rest = [d for d in training if crc(d, 10) == lm.FOLD], [d for d in training if crc(d, 10) != lm.FOLD]
+    assert sum(scores(fold, rest, learned[0]).values()) > sum(scores(fold, rest, np.full((lm.BUCKETS, 3), 1 / 3)).values())
