@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, new_file, open_fs, ranges, shared_dir
+from .common import bounded_batches, materialize, new_file, open_fs, ranges, scope, shared_dir
 
 #: Payloads below this size are stored each time.
 LEAST_BYTES = 1000
@@ -108,7 +108,6 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
         F.col(f"`{url}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
-    planned = plan_revisits(pages, least).select("key", "url", "payload", "digest", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = open_fs(path)
@@ -133,7 +132,9 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
                 out.close()
 
     bounded_batches(df.sparkSession)
-    planned.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{path}/index")
+    with scope(df.sparkSession, "warc-work"):  # the table of repeated digests goes when the archives are there
+        planned = plan_revisits(pages, least).select("key", "url", "payload", "digest", "refers_to")
+        planned.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{path}/index")
     return df.sparkSession.read.parquet(f"{path}/index")
 
 
