@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize, small
+from .common import bounded_batches, discard, materialize, scope, shared_dir, small
 
 #: Letters of a run, a fixed value; only A to Z are lower-cased.
 LETTERS = "A-Za-zÀ-ÿ"
@@ -247,7 +247,10 @@ def with_roots(forms: DataFrame) -> DataFrame:
 
 def variant_groups(words: DataFrame, least: int = LEAST, times: int = TIMES, hot: int = HOT) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word of ``words`` (word, n), which are distinct and have ``least`` code points or more."""
-    words = materialize(words.select("word", "n"), "words")
-    forms = materialize(with_forms(words, near_pairs(words, least, hot), times), "forms")
+    spark = words.sparkSession
+    path = shared_dir(spark, "forms")
+    with scope(spark, "variants"):  # words and keys go when the forms are there
+        words = materialize(words.select("word", "n"), "words")
+        forms = materialize(with_forms(words, near_pairs(words, least, hot), times), "forms", path)
     return with_roots(forms).select("word", "form", "root", "n", "n_near", "form_n")
 
