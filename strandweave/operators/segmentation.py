@@ -94,14 +94,18 @@ def segment_chunks(chunks: DataFrame, monomers: list, scoring: Scoring, ed_thr:
     names, seqs = [m["name"] for m in monomers], [m["seq"] for m in monomers]
     scores = (scoring.insertion, scoring.deletion, scoring.mismatch, scoring.match)
     wanted = chunks.select("read_ordinal", "read_name", "chunk_idx", "chunk_offset", "chunk_seq")
-    length = F.octet_length("chunk_seq").cast("long")
+    parallelism = chunks.sparkSession.sparkContext.defaultParallelism
+    if letters is None:
+        letters = chunks.agg(F.sum(F.octet_length("chunk_seq").cast("long"))).first()[0] or 0
+    cells = letters * sum(map(len, seqs))
     if ed_thr >= 0:
-        wanted = with_candidates(wanted, monomers, ed_thr)
+        # the choice is work of its own, 64 cells a machine word, and is dealt out as such
+        dealt = wanted.repartition(task_count(cells // 16, parallelism), "read_ordinal", "chunk_idx")
+        wanted = with_candidates(dealt, monomers, ed_thr)
         cells = wanted.agg(F.sum("cells")).first()[0] or 0
         wanted = wanted.drop("cells")
     else:
         wanted = wanted.withColumn("chosen", F.lit(None).cast("array<int>"))
-        cells = (letters if letters is not None else chunks.agg(F.sum(length)).first()[0] or 0) * sum(map(len, seqs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = kernels.Templates(seqs, *scores)
@@ -117,7 +121,7 @@ def segment_chunks(chunks: DataFrame, monomers: list, scoring: Scoring, ed_thr:
                 yield _table(rows, BLOCKS)
 
     # chunks are small beside their work, so their bytes must not decide how many share a task
-    tasks = task_count(cells, chunks.sparkSession.sparkContext.defaultParallelism)
+    tasks = task_count(cells, parallelism)
     return wanted.repartition(tasks, "read_ordinal", "chunk_idx").mapInArrow(run, BLOCKS)
 
 
