@@ -70,14 +70,17 @@ class BoostedTrees:
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, rounds: int = 30) -> BoostedTrees:
         """Platt scaling with smoothed targets on rows that the trees were not fitted on."""
-        m = self.margin(x)
-        up, down = y.sum(), len(y) - y.sum()
+        return self.calibrate_margins(self.margin(x), y, np.ones(len(y)), rounds)
+
+    def calibrate_margins(self, m: np.ndarray, y: np.ndarray, count: np.ndarray, rounds: int = 30) -> BoostedTrees:
+        """The same for so many rows of each margin and label."""
+        up, down = (y * count).sum(), ((1 - y) * count).sum()
         target = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
         z = np.stack([m, np.ones(len(m))], axis=1)
         w = np.array([1.0, 0.0])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ z + 1e-4 * np.eye(2), z.T @ (p - target))
+            step = np.linalg.solve((z * (count * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + 1e-4 * np.eye(2), z.T @ (count * (p - target)))
             w -= np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-6:
                 break
@@ -85,5 +88,8 @@ class BoostedTrees:
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.probability(self.margin(x))
+
+    def probability(self, margin: np.ndarray) -> np.ndarray:
         a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * self.margin(x) + b, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))

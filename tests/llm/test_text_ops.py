@@ -586,3 +586,17 @@ def test_respelled_data_is_not_what_fixed_patterns_take():
             assert not any(k == kind for k, _, _ in pii.base_spans(new)), new
     assert pii.least_threshold(np.array([0.9, 0.8, 0.7, 0.6]), np.array([1, 1, 0, 1])) == 0.75
     assert pii.least_threshold(np.array([0.9, 0.8]), np.array([0, 0])) == 1.01 and pii.least_threshold(np.array([0.9, 0.8]), np.array([1, 1])) == 0.5
+
+
+def test_pii_thresholds_count_every_held_out_document(spark, monkeypatch):
+    """More documents than the sample: all candidates of the held-out third are counted."""
+    import zlib
+
+    texts = [f"write to a{k}.b@c{k}.org, call {k % 10}15-555-{1000 + k} or +49 30 12{k:05d}, host 10.0.{k % 250}.1" for k in range(240)]
+    seen, settled = [], pii.settled
+    monkeypatch.setattr(pii, "SAMPLE", 20)
+    monkeypatch.setattr(pii, "settled", lambda trees, counts: seen.append(counts) or settled(trees, counts))
+    pii.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    held = [t for t in texts if zlib.crc32(t.encode()) % 3 == 2]
+    want = sum(len(pii.held_out_rows([t], zlib.crc32(t.encode()))[1]) for t in held) + len(pii.held_out_rows(pii.STANDING)[1])
+    assert len(held) > 60 and sum(seen[0].values()) == want
