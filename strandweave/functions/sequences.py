@@ -32,7 +32,7 @@ def header_name(header: Column) -> Column:
 
 def bases(text: Column) -> Column:
     """Letters A, C, G, T, N of any case, in upper case; other characters go first, so nothing expands."""
-    return F.upper(F.regexp_replace(text, "[^ACGTNacgtn]", ""))
+    return F.upper(F.regexp_replace(text, "[^ACGTNacgtn]+", ""))
 
 
 def segment(seq: Column, start: Column, end: Column) -> Column:
