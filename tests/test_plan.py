@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import sequences as S
 from strandweave.operators import align, segmentation
-from strandweave.operators.chunks import chunk_reads
+from strandweave.operators.chunks import chunk_reads, cut_up
 from strandweave.operators.monomers import both_strands
 from strandweave.params import Options, Scoring
 from strandweave.plans.decompose import decompose, decompose_files
@@ -411,3 +411,25 @@ def test_files_at_default_chunks(spark):
         part = seq[at : at + 400]
         got = decompose(spark.createDataFrame([(0, name, part)], READS), ms, Options()).raw.orderBy("block_idx").collect()
         assert [(x["monomer"], x["start"], x["end"]) for x in got] == _literal_raw(part, 5000, 500, [s["name"] for s in strands], [s["seq"] for s in strands])
+
+
+def test_chunks_equal_the_cut_of_pieces(spark):
+    lengths = [1, 2, 6, 7, 8, 14, 15, 16, 40, 41, 55, 99, 100, 101, 250]
+    seqs = [("ACGTTGCAN" * 30)[:n] for n in lengths]
+    rows = spark.createDataFrame([*((i, f"r{i}", s) for i, s in enumerate(seqs)), (90, "none", None), (91, "empty", "")], READS)
+    for part, overlap in ((1, 0), (7, 0), (7, 1), (7, 7), (3, 8), (40, 15), (500, 100)):
+        want = sorted((i, f"r{i}", k, o, c.decode()) for i, s in enumerate(seqs) for k, o, c in cut_up([(s.encode(), True)], part, overlap))
+        assert sorted(map(tuple, chunk_reads(rows, part, overlap).collect())) == want
+
+
+def test_distances_of_reads_keep_one_python_process_a_task(spark):
+    order = both_strands(monomers(spark, a="ACGTTG", b="TTGCAA")).orderBy("dp_ordinal").collect()
+    seqs = ["ACGTTGCA" * 70, "GATTACA" * 50, "N"]
+    found = segmentation.monomer_distances(chunk_reads(reads(spark, *seqs), 50, 10), order)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    want = [
+        (i, k, m["dp_ordinal"], min(plain.matrix(m["seq"], c.decode(), True)[-1]))
+        for i, s in enumerate(seqs) for k, _, c in cut_up([(s.encode(), True)], 50, 10) for m in order
+    ]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
